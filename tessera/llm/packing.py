@@ -15,6 +15,7 @@ packed like any others. Columns other than id and text are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,7 @@ SEGMENTS = 64
 END = 1
 BLOCK = 2048
 CACHE = 400_000
+_MEET = re.compile(r"\s\s|[^\S \n]")
 VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -43,9 +45,9 @@ def default_vocabulary() -> str:
 class Encoder:
     """Token ids of texts as bytes of little-endian uint32, by a byte-level BPE with spaces in front of words.
 
-    Such a tokenizer always starts a token at a single space before a non-space, so a text is the
-    concatenation of its pieces between spaces; pieces are encoded once and kept while they fit.
-    Texts where a space meets another white space are encoded in one go.
+    Such a tokenizer always starts a token at a single space or line break between two other characters, so
+    a text is the concatenation of its pieces between them; pieces are encoded once and kept while they fit.
+    Texts where white space meets white space are encoded in one go.
     """
 
     def __init__(self, path: str):
@@ -58,26 +60,27 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str] | None:
+        """The text's pieces, each with the white space before it; None if that is not how it is built."""
+        if not text or text[0].isspace() or text[-1].isspace() or _MEET.search(text):
+            return None
+        return text.replace("\n", " \n").split(" ")
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        plain = [not self._irregular(p) for p in split]
-        new = set()
-        for p, ok in zip(split, plain):
-            if ok:
-                new.update(p[1:])
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [w for w in new if w not in self.known]
-        if len(new) > CACHE:  # an unusually rich batch: no piece is kept
+        split = [self._pieces(t) for t in texts]
+        used = set()
+        for p in split:
+            if p:
+                used.update(p[1:])
+        new = [w for w in used if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, list(used)
+        if len(new) > CACHE:  # an unusually rich batch: nothing is kept
             return self._ids(texts)
-        self.known.update(zip(new, self._ids([" " + w for w in new])))
-        heads = self._ids([p[0] if ok else t for p, ok, t in zip(split, plain, texts)])
+        self.known.update(zip(new, self._ids([w if w[0] == "\n" else " " + w for w in new])))
+        heads = self._ids([t if p is None else p[0] for t, p in zip(texts, split)])
         get = self.known.__getitem__
-        return [h + b"".join(map(get, p[1:])) if ok else h for h, p, ok in zip(heads, split, plain)]
-
-    @staticmethod
-    def _irregular(pieces: list[str]) -> bool:
-        return "" in pieces or any(p[0].isspace() for p in pieces[1:]) or any(p[-1].isspace() for p in pieces[:-1])
+        return [h if p is None else h + b"".join(map(get, p[1:])) for h, p in zip(heads, split)]
 
 
 def place(need: np.ndarray, limit: np.ndarray) -> list[list[int]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, packing, quality, sharding
+from . import chat, embdedup, langid, licenses, ngramjoin, packing, quality, sentpiece, sharding
 from .common import table
 
 
@@ -13,8 +13,13 @@ def queries() -> dict:
         "op3_sharding": docs(sharding.query),
         "op4_packing": docs(packing.query),
         "op5_chat_formatting": lambda spark, sf_dir: chat.query(table(spark, sf_dir, "conversations")),
+        "op6_ngram_join": docs(ngramjoin.query),
+        "op7_language_id": docs(langid.query),
+        "op8_sentencepiece": docs(sentpiece.query),
+        "op9_license_scan": docs(licenses.query),
+        "op10_embedding_dedup": lambda spark, sf_dir: embdedup.query(table(spark, sf_dir, "embeddings")),
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality.SQL, "op5_chat_formatting": chat.SQL}
+    return {"op1_quality_rules": quality.SQL, "op5_chat_formatting": chat.SQL, "op6_ngram_join": ngramjoin.SQL}
