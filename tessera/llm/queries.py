@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embdedup, langid, licenses, ngramjoin, packing, quality, sentpiece, sharding
+from . import chat, embdedup, langid, licenses, linededup, ngramjoin, packing, quality, sentpiece, sharding
 from .common import table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     docs = lambda f: lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
     return {
         "op1_quality_rules": docs(quality.query),
+        "op2_line_dedup": docs(linededup.query),
         "op3_sharding": docs(sharding.query),
         "op4_packing": docs(packing.query),
         "op5_chat_formatting": lambda spark, sf_dir: chat.query(table(spark, sf_dir, "conversations")),
