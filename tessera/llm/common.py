@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a Python worker gets at once; texts may be long, so batches are short.
 ARROW_ROWS = 256
+#: Size of the bit sets that are broadcast (1 MB).
+FILTER_BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,26 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bit_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A set of the long column key as bits of fixed size, to be broadcast: what it does not hold is not in keys.
+
+    It only spares work: whatever passes is checked by a join or is harmless. With far more keys than bits it lets
+    everything through.
+    """
+    slot = F.col(key).bitwiseAND(F.lit(bits - 1))
+    rows = keys.select((F.shiftright(slot, 6)).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))").alias("m"))
+    out = np.zeros(bits // 64, dtype=np.int64)
+    for r in rows.groupBy("w").agg(F.bit_or("m").alias("m")).collect():
+        out[r.w] = r.m
+    return out
+
+
+def may_hold(filter_bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the set."""
+    slot = keys.view(np.int64) & (64 * len(filter_bits) - 1)
+    return (filter_bits[slot >> 6] >> (slot & 63) & 1).astype(bool)
+
+
 def unit(*cols: Column | str) -> Column:
     """A number in (0, 1) that depends on the columns only."""
     low = F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1))

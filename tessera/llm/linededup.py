@@ -12,9 +12,11 @@ that is combined before the shuffle.
 
 Variants are only made for lines that can have a partner. If two lines differ by one edit, they share their
 first or their last k words, k being the largest power of two with 2k at most the shorter length; so a line
-goes on only if another, different line has the same first or last words.
+goes on only if another, different line has the same first or last words, and a variant only if another line has it.
+Both tests are exact aggregations; bit sets of fixed size carry their results back to the texts, and what
+passes them by chance changes nothing.
 
-Line hashes have 128 bits. Null texts have no lines and stay null; empty tables give empty results; rows with a
+Line hashes have 96 bits. Null texts have no lines and stay null; empty tables give empty results; rows with a
 null id are compared with each other and the rest, and come first; rows that agree in id and text are one
 document, each returned.
 """
@@ -25,16 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, short_batches
+from .common import bit_filter, cut, may_hold, short_batches
 from .hashing import mix, text_words
 
 LEAST = 5
 NEAR = 8
-FILTER_BITS = 1 << 23
-_KEYS = "doc long, key long, line int, n int, h1 long, h2 long"
+#: Lines that a task remembers having met.
+MET = 1 << 20
 
 
 def _line_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,8 +102,16 @@ def _i64(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values, dtype=np.uint64).view(np.int64))
 
 
+def _second(values: np.ndarray) -> pa.Array:
+    return pa.array((values & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+
+
+def _lists(sizes, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, key, line, n, h1, h2, cores) of each line of at least LEAST words; docs has id, key and text."""
+    """(doc, key, line, h1, h2, cores) of each line of at least LEAST words; docs has id, key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,97 +121,133 @@ def occurrences(docs: DataFrame) -> DataFrame:
             one, two = (Ranges(words, step) for step in STEPS)
             lines, cores = _cores(one, x, y)
             order = np.argsort(lines, kind="stable")
-            edges = np.concatenate([[0], np.cumsum(np.bincount(lines, minlength=len(kept)))])
             who = pa.array(owner[kept])
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(who),
                     b.column(1).take(who),
                     pa.array(number[kept].astype(np.int32)),
-                    pa.array((y - x).astype(np.int32)),
                     _i64(one(x, y)),
-                    _i64(two(x, y)),
-                    pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), _i64(cores[order])),
+                    _second(two(x, y)),
+                    _lists(np.bincount(lines, minlength=len(kept)), _i64(cores[order])),
                 ],
-                names=["doc", "key", "line", "n", "h1", "h2", "cores"],
+                names=["doc", "key", "line", "h1", "h2", "cores"],
             )
 
     short_batches(docs.sparkSession)
-    return docs.select("id", "key", "text").mapInArrow(run, _KEYS + ", cores array<long>")
+    return docs.select("id", "key", "text").mapInArrow(run, "doc long, key int, line int, h1 long, h2 int, cores array<long>")
 
 
-def variants(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The deletion neighbourhoods of the lines at places (doc, key, line): (v1, v2, place or -1 for the line itself, h1, h2, doc, key, line).
+def variants(docs: DataFrame, shared_cores: np.ndarray) -> DataFrame:
+    """(doc, key, line, h1, h2, v1, v2) of the lines with a shared core: v1 and v2 hold the hashes without each word.
 
-    The documents are read again; a filter of fixed size, one bit per hash of a document, spares most of
-    the others, and a join with places the rest.
+    A line that a task has met before comes with empty arrays.
     """
-    spark = docs.sparkSession
-    owners = places.select(F.pmod(F.xxhash64("doc", "key"), F.lit(FILTER_BITS)).alias("slot"))
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in owners.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("m")).collect():
-        bits[r.w] = r.m
-    wanted = spark.sparkContext.broadcast(bits)
+    wanted = docs.sparkSession.sparkContext.broadcast(shared_cores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
-            slot = b.column(3).to_numpy()
-            b = b.take(pa.array(np.flatnonzero(wanted.value[slot >> 6] >> (slot & 63) & 1)))
             words, edge, owner, number = _line_words(b.column(2).to_pylist())
-            kept = np.flatnonzero(np.diff(edge) >= NEAR)
-            lists = [np.stack(_without_each(words[x:y])) for x, y in zip(edge[kept], edge[kept + 1])]
-            edges = pa.array(np.cumsum([0] + [m.shape[1] for m in lists]).astype(np.int32))
-            flat = np.concatenate(lists, axis=1) if lists else np.zeros((2, 0), np.uint64)
+            at = np.flatnonzero(np.diff(edge) >= NEAR)
+            one, two = (Ranges(words, step) for step in STEPS)
+            lines, cores = _cores(one, edge[at], edge[at + 1])
+            kept = at[np.unique(lines[may_hold(wanted.value, cores)])]
+            x, y = edge[kept], edge[kept + 1]
+            h1 = one(x, y)
+            lists, sizes = [np.zeros((2, 0), np.uint64)], []
+            for i, h in enumerate(h1.tolist()):
+                new = h not in met
+                sizes.append(int(y[i] - x[i]) if new else 0)
+                if new:
+                    if len(met) >= MET:
+                        met.clear()
+                    met.add(h)
+                    lists.append(np.stack(_without_each(words[x[i] : y[i]])))
+            flat = np.concatenate(lists, axis=1)
             who = pa.array(owner[kept])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(who), b.column(1).take(who), pa.array(number[kept].astype(np.int32)), *[pa.ListArray.from_arrays(edges, pa.array(f.view(np.int64))) for f in flat]],
-                names=["doc", "key", "line", "v1", "v2"],
+                [b.column(0).take(who), b.column(1).take(who), pa.array(number[kept].astype(np.int32)), _i64(h1), _second(two(x, y)), _lists(sizes, _i64(flat[0])), _lists(sizes, _second(flat[1]))],
+                names=["doc", "key", "line", "h1", "h2", "v1", "v2"],
             )
 
-    slot = F.pmod(F.xxhash64("id", "key"), F.lit(FILTER_BITS)).alias("slot")
-    made = docs.select("id", "key", "text", slot).mapInArrow(run, "doc long, key long, line int, v1 array<long>, v2 array<long>")
-    same = (made["doc"].eqNullSafe(places["doc"])) & (made["key"] == places["key"]) & (made["line"] == places["line"])
-    kept = places.join(made, same).select(places["doc"], places["key"], places["line"], "h1", "h2", "v1", "v2")
-    each = kept.select("doc", "key", "line", "h1", "h2", F.posexplode(F.arrays_zip("v1", "v2")).alias("place", "v"))
-    return each.select("doc", "key", "line", "h1", "h2", "place", "v.v1", "v.v2").unionByName(
-        kept.select("doc", "key", "line", "h1", "h2", F.lit(-1).alias("place"), F.col("h1").alias("v1"), F.col("h2").alias("v2"))
-    )
+    short_batches(docs.sparkSession)
+    return docs.select("id", "key", "text").mapInArrow(run, "doc long, key int, line int, h1 long, h2 int, v1 array<long>, v2 array<int>")
+
+
+def met_variants(kept: DataFrame, shared_variants: np.ndarray) -> DataFrame:
+    """(v1, v2, place, h1, h2): the variants that may be shared, in long form; place -1 is the line itself."""
+    wanted = kept.sparkSession.sparkContext.broadcast(shared_variants)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v1, v2 = (b.column(k).flatten().to_numpy() for k in (2, 3))
+            edge = b.column(2).offsets.to_numpy()
+            edge = edge - edge[0]
+            own = np.repeat(np.arange(b.num_rows), np.diff(edge))
+            place = np.arange(len(v1)) - edge[own]
+            hit = may_hold(wanted.value, v1)
+            h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            whole = np.flatnonzero(may_hold(wanted.value, h1) & (np.diff(edge) > 0))
+            who = np.concatenate([own[hit], whole])
+            cols = (np.concatenate([v1[hit], h1[whole]]), np.concatenate([v2[hit], h2[whole]]), np.concatenate([place[hit], np.full(len(whole), -1)]).astype(np.int32), h1[who], h2[who])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["v1", "v2", "place", "h1", "h2"])
+
+    return kept.select("h1", "h2", "v1", "v2").mapInArrow(run, "v1 long, v2 int, place int, h1 long, h2 int")
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """(doc, key, lines): the numbers of the lines that go, per document."""
     at = F.struct("doc", "key", "line")
+    several = lambda rows, key: rows.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select(key)
     found = cut(occurrences(docs))
-    lines = cut(found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("c"), F.first("cores").alias("cores")))
-    cores = lines.select("h1", "h2", "first", F.explode("cores").alias("core"))
-    shared = cores.groupBy("core").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("core")
-    places = cut(cores.join(shared, "core").select("h1", "h2", "first").distinct().select("h1", "h2", "first.*"))
-    each = cut(variants(docs, places).withColumn("first", at).drop("doc", "key", "line"))
-    # the earliest line of each variant: among all lines without the same word, the line itself, and all
+    cores = several(found.select(F.explode("cores").alias("core"), "h1"), "core")
+    kept = cut(variants(docs, bit_filter(cores, "core")))
+    shared = several(kept.where("size(v1) > 0").select(F.explode(F.concat("v1", F.array("h1"))).alias("v"), "h1"), "v")
+    firsts = kept.groupBy("h1", "h2").agg(F.min(at).alias("first"))
+    each = cut(met_variants(kept, bit_filter(shared, "v")).distinct().join(firsts, ["h1", "h2"]))
+    # the earliest line of each variant: among the lines without the word at that place, the line itself, and all
     by_place = each.where("place >= 0").groupBy("v1", "v2", "place").agg(F.min("first").alias("e"))
     by_variant = each.groupBy("v1", "v2").agg(F.min(F.when(F.col("place") < 0, F.col("first"))).alias("own"), F.min("first").alias("e"))
     cut_line = each.where("place >= 0").join(by_place, ["v1", "v2", "place"]).join(by_variant.select("v1", "v2", "own"), ["v1", "v2"])
     late = cut_line.where((F.col("e") < F.col("first")) | (F.col("own") < F.col("first"))).select("h1", "h2")
     late = late.unionByName(each.where("place < 0").join(by_variant.select("v1", "v2", "e"), ["v1", "v2"]).where(F.col("e") < F.col("first")).select("h1", "h2")).distinct()
-    gone = lines.where("c > 1").select("h1", "h2", "first").join(late.withColumn("late", F.lit(True)), ["h1", "h2"], "full")
-    gone = gone.select("h1", "h2", F.when(F.col("late"), F.lit(None)).otherwise(F.col("first")).alias("stays"))
+    again = found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "first")
+    gone = again.join(late.withColumn("late", F.lit(True)), ["h1", "h2"], "full")
+    gone = cut(gone.select("h1", "h2", F.when(F.col("late"), F.lit(None)).otherwise(F.col("first")).alias("stays")))
     out = found.select("doc", "key", "line", "h1", "h2").join(gone, ["h1", "h2"]).where(~F.coalesce(F.col("stays") == at, F.lit(False)))
     return out.groupBy("doc", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _identity() -> Column:
+    return F.xxhash64("id", "key")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs in the struct ``row``, the text without its removed lines, n_lines and n_removed."""
-    base = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("key"), F.col(text).alias("text"))
+    """All columns of docs in the struct ``row``, the text without its removed lines, n_lines and n_removed.
+
+    Only documents that may lose a line are shuffled to meet their line numbers.
+    """
+    base = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.hash(text).alias("key"), F.col(text).alias("text"))
     gone = cut(removed(base.select("id", "key", "text").where("text is not null")))
-    joined = base.join(gone, base["id"].eqNullSafe(gone["doc"]) & (base["key"] == gone["key"]), "left")
+    bits = base.sparkSession.sparkContext.broadcast(bit_filter(gone.select(F.xxhash64("doc", "key").alias("k")), "k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flag = may_hold(bits.value, b.column(b.num_columns - 1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(flag)], names=["row", "id", "key", "text", "maybe"])
+
+    kind = base.schema["row"].dataType.simpleString()
+    marked = base.select("*", _identity().alias("k")).mapInArrow(run, f"row {kind}, id long, key int, text string, maybe boolean")
     split = F.split("text", "\n")
+    n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines")
+    some = marked.where("maybe")
+    joined = some.join(gone, some["id"].eqNullSafe(gone["doc"]) & (some["key"] == gone["key"]), "left")
     less = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("lines", i)), "\n")
-    return joined.select(
-        "row",
-        F.when(F.col("lines").isNull(), F.col("text")).otherwise(less).alias("text"),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed"),
+    changed = joined.select(
+        "row", F.when(F.col("lines").isNull(), F.col("text")).otherwise(less).alias("text"), n_lines, F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed")
     )
+    return changed.unionByName(marked.where("not maybe").select("row", "text", n_lines, F.lit(0).cast("long").alias("n_removed")))
 
 
 def query(docs: DataFrame) -> DataFrame:
