@@ -108,7 +108,7 @@ def read_turns(formatted: Column) -> Column:
     whole = F.slice(F.split(formatted, CLOSE), 1, F.greatest(F.size(F.split(formatted, CLOSE)) - 1, F.lit(0)))
 
     def one(x: Column) -> Column:
-        role = F.regexp_extract(x, rf"^{OPEN}((?:[^\\\\>]|\\\\.)*)>", 1)
+        role = F.regexp_extract(x, rf"^{OPEN}((?:[^\\>]|\\.)*)>", 1)
         return F.struct(
             unescape(role).alias("role"), unescape(F.substring(x, F.length(role) + F.lit(len(OPEN) + 2), F.length(x))).alias("text")
         )
