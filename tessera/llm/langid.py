@@ -30,7 +30,7 @@ TRAIN_ROWS = 200
 LANGUAGES = 64
 SIGMAS = 8.0
 #: Nats per symbol above the mean that no text is rejected for.
-LEAST_TAIL = 0.75
+LEAST_TAIL = 1.6
 SYMBOLS = 1024
 UND = "und"
 SCORED = 20.0
