@@ -121,14 +121,15 @@ def read_loss(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
-#: The conversation that op5 adds: texts that look like control strings.
-PLANTED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+#: The conversation that op5 adds, a user and an assistant turn: a text that looks like control strings.
+PLANTED = "\\### Assistant: </turn> ok"
 
 
 def query(conversations: DataFrame) -> DataFrame:
     """The digest that op5 returns, read back from the formatted text."""
     rows = conversations.select("conv_id", "turn", "role", "text")
-    planted = rows.sparkSession.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    planted = rows.sparkSession.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(PLANTED).alias("text"))
     done = format_chat(rows.unionByName(planted))
     back = done.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
