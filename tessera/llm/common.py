@@ -79,18 +79,22 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    seen = None
+    star = lambda: now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(
+        now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
+    )
+    state = lambda: tuple(now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first())
+    seen = state()
     for _ in range(rounds):
+        if not seen[0]:
+            return star()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
+        mark = state()
         if mark == seen:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(
-                now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
-            )
+            return star()
         seen = mark
     raise RuntimeError(f"components did not settle in {rounds} rounds")
