@@ -1,11 +1,14 @@
 """N-gram Jaccard join by multiple-global-order prefix filtering.
 
 A document's set is its distinct n-word shingles. If two sets reach the threshold t, then under any global
-order of the tokens their prefixes of size - ceil(t * size) + 1 tokens share a token. Two orders are used:
-both put common tokens last (in classes of corpus counts, kept in ``BUCKETS`` hashed counters over all
-documents), within a class one takes one hash and the other another. Candidates share a prefix token under
-the first order and have compatible sizes; those that share none under the second are dropped; the rest
-are verified on the whole sets.
+order of the tokens their prefixes of size - ceil(t * size) + 1 tokens share a token; more, the shared prefix tokens
+and what either set has beyond its prefix must add up to the overlap the threshold needs. Two orders are used:
+both put common tokens last, within a class of commonness one takes one hash and the other another.
+Candidates share enough prefix tokens under the first order and have compatible sizes; those that don't under
+the second are dropped; the rest are verified on the whole sets.
+
+Commonness comes from all documents: ``BUCKETS`` hashed counters of all shingles, and the ``HOT`` most frequent
+tokens of the prefixes that these counters give. Both only order tokens; no candidate depends on them.
 
 Groups of copies are not expanded into pairs: equal sets are one representative; each representative is
 first verified against one leader, the smallest representative of its prefix tokens with which it shares most;
@@ -27,12 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, short_batches
-from .hashing import mix, shingle_set, text_words
+from .hashing import Sorted, mix, shingle_set, text_words
 
 #: Hashed counters of the corpus, and bits of the candidate filter; both are broadcast, so they are fixed.
 BUCKETS = 1 << 16
 FILTER_BITS = 1 << 23
+#: At most so many tokens, each in the prefixes of at least HOT_DOCS documents, are put last; their hashes are broadcast.
+HOT = 1 << 18
+HOT_DOCS = 32
 _OTHER = np.uint64(0xD1B54A32D192ED03)
+_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
 def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -47,9 +54,9 @@ def corpus_counts(docs: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
             for s in _sets(b.column(0).to_pylist(), n):
-                total += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS) if len(s) > 4096 else 0
+                total += np.bincount((s >> _SHIFT).astype(np.int64), minlength=BUCKETS) if len(s) > 4096 else 0
                 if len(s) <= 4096:
-                    np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1)
+                    np.add.at(total, (s >> _SHIFT).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
 
@@ -66,31 +73,50 @@ def classes(counts: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(counts / usual, 1))).astype(np.uint8)
 
 
-def index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Per row: id, size, f1 and f2 (fingerprints of the set), p1 and p2 (prefixes under the two orders)."""
-    spark = docs.sparkSession
-    rank = spark.sparkContext.broadcast(classes(corpus_counts(docs, n)))
+def index(docs: DataFrame, n: int, num: int, den: int, rank, hot, prefixes_only: bool = False) -> DataFrame:
+    """Per row: id, size, f1 and f2 (fingerprints of the set), p1 and p2 (prefixes under the two orders).
+
+    rank is a broadcast of ``classes``, hot one of a sorted array of tokens that come after all others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, last = rank.value, Sorted(hot.value)
         for b in batches:
             sizes, f1, f2, p1, p2 = [], [], [], [], []
-            for s in _sets(b.column(1).to_pylist(), n):
+            sets = _sets(b.column(1).to_pylist(), n)
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            late = common[(flat >> _SHIFT).astype(np.int64)] + 64 * (last.find(flat) >= 0).astype(np.uint8)
+            other = mix(flat ^ _OTHER)
+            at = 0
+            for s in sets:
                 k = len(s)
                 keep = k - -(-num * k // den) + 1 if k else 0
-                common = rank.value[(s >> np.uint64(48)).astype(np.int64)] if k else s
-                other = mix(s ^ _OTHER)
-                one = s[np.argsort(common, kind="stable")[:keep]]  # s is sorted by the first hash
-                two = s[np.lexsort((other, common))[:keep]] if k else s
-                sizes.append(k)
-                f1.append(int(other.sum(dtype=np.uint64).view(np.int64)) if k else 0)
-                f2.append(int(np.bitwise_xor.reduce(mix(other)).view(np.int64)) if k else 0)
-                p1.append(one.view(np.int64))
-                p2.append(two.view(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]).astype(np.int32)), pa.array(np.concatenate(p) if p else np.zeros(0, np.int64))) for p in (p1, p2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *lists], names=["id", "size", "f1", "f2", "p1", "p2"])
-
-    short_batches(spark)
-    return docs.select("id", "text").mapInArrow(run, "id long, size long, f1 long, f2 long, p1 array<long>, p2 array<long>")
+                c, o = late[at : at + k], other[at : at + k]
+                at += k
+                p1.append(s[np.argsort(c, kind="stable")[:keep]].view(np.int64))  # s is sorted by the first hash
+                if not prefixes_only:
+                    p2.append(s[np.lexsort((o, c))[:keep]].view(np.int64))
+                    sizes.append(k)
+                    f1.append(int(o.sum(dtype=np.uint64).view(np.int64)) if k else 0)
+                    f2.append(int(np.bitwise_xor.reduce(mix(o)).view(np.int64)) if k else 0)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]).astype(np.int32)), pa.array(np.concatenate([*p, np.zeros(0, np.int64)]))) for p in (p1, p2)]
+            if prefixes_only:
+                yield pa.RecordBatch.from_arrays(lists[:1], names=["p1"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *lists], names=["id", "size", "f1", "f2", "p1", "p2"])
+
+    short_batches(docs.sparkSession)
+    return docs.select("id", "text").mapInArrow(run, "p1 array<long>" if prefixes_only else "id long, size long, f1 long, f2 long, p1 array<long>, p2 array<long>")
+
+
+def ordered_index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``index`` with both measures of commonness."""
+    sc = docs.sparkSession.sparkContext
+    rank = sc.broadcast(classes(corpus_counts(docs, n)))
+    seen = index(docs, n, num, den, rank, sc.broadcast(np.zeros(0, np.uint64)), prefixes_only=True).select(F.explode("p1").alias("t"))
+    often = seen.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_DOCS).orderBy(F.desc("c"), "t").limit(HOT).select("t").toPandas()
+    hot = np.sort(often["t"].to_numpy().astype(np.int64).view(np.uint64))
+    return index(docs, n, num, den, rank, sc.broadcast(hot))
 
 
 def _slot() -> Column:
@@ -133,33 +159,48 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return sized.where(F.lit(den) * F.col("i") >= F.lit(num) * (F.col("n") - F.col("i"))).select("a", "b").distinct()
 
 
-def second_order(pairs: DataFrame, idx: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under the second order too."""
-    p = idx.select("id", "p2")
-    both = pairs.join(p.select(F.col("id").alias("a"), F.col("p2").alias("x")), "a").join(p.select(F.col("id").alias("b"), F.col("p2").alias("y")), "b")
-    return both.where(F.arrays_overlap("x", "y")).select("a", "b").distinct()
+def enough(c: Column, nx: Column, ny: Column, num: int, den: int) -> Column:
+    """Whether sets of nx and ny tokens that share c prefix tokens may reach the threshold.
+
+    The set whose prefix ends first has all it shares with the other's prefix in c, and the rest beyond its prefix.
+    """
+    beyond = lambda x: F.floor((num * x + den - 1) / den) - 1  # noqa: E731  size less the prefix
+    return (c + F.greatest(beyond(nx), beyond(ny))) * (den + num) >= (nx + ny) * num
+
+
+def second_order(pairs: DataFrame, idx: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that share enough prefix tokens under the second order too."""
+    p = idx.select("id", "size", "p2")
+    x = p.select(F.col("id").alias("a"), F.col("size").alias("nx"), F.col("p2").alias("x"))
+    y = p.select(F.col("id").alias("b"), F.col("size").alias("ny"), F.col("p2").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, "a").join(y, "b").where((shared > 0) & enough(shared, F.col("nx"), F.col("ny"), num, den)).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(idx, comps): per row id and size; (id, component_id) of all linked ids. Links: den * |A & B| >= num * |A | B|."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    idx = cut(index(docs, n, num, den))
+    idx = cut(ordered_index(docs, n, num, den))
     known = idx.where("id is not null and size > 0")
     fits = lambda x, y: (F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        passed = cut(second_order(pairs, idx, num, den))
+        return cut(verified(passed, cut(sets_of(docs, ends(passed), n)), num, den))
+
     first = known.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last")
-    copies = cut(known.join(first, ["f1", "f2", "size"]).where("id <> rep").select("id", "rep").distinct())
+    copies = cut(known.select("id", "f1", "f2", "size").join(first, ["f1", "f2", "size"]).where("id <> rep").select("id", "rep").distinct())
 
     tokens = known.select("id", F.col("size").cast("int").alias("size"), F.explode("p1").alias("t"))
     twice = tokens.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("t")
-    shared = tokens.join(twice, "t").join(copies, "id", "left").select("t", F.coalesce("rep", "id").alias("id"), "size").distinct()
-    shared = cut(shared)
-    lead = shared.groupBy("t").agg(F.min_by("size", "id").alias("lsize"), F.min("id").alias("lead"), F.max("id").alias("hi")).where("lead < hi").drop("hi")
-    led = cut(shared.join(lead, "t"))
-    sets = cut(sets_of(docs, led.select("id").distinct(), n))
-
-    votes = led.where((F.col("id") != F.col("lead")) & fits(F.col("size"), F.col("lsize"))).groupBy("id", "lead").agg(F.count("*").alias("c"))
-    best = votes.groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("a")).select("a", F.col("id").alias("b"))
-    links = cut(verified(second_order(best, idx), sets, num, den))
+    shared = cut(tokens.join(twice, "t").join(copies, "id", "left").select("t", F.coalesce("rep", "id").alias("id"), "size").distinct())
+    lead = shared.groupBy("t").agg(F.min(F.struct("id", "size")).alias("x"), F.max("id").alias("hi")).where("x.id < hi")
+    led = cut(shared.join(lead.select("t", F.col("x.id").alias("lead"), F.col("x.size").alias("lsize")), "t"))
+
+    votes = led.where((F.col("id") != F.col("lead")) & fits(F.col("size"), F.col("lsize"))).groupBy("id", "size", "lead", "lsize").agg(F.count("*").alias("c"))
+    votes = votes.where(enough(F.col("c"), F.col("size"), F.col("lsize"), num, den))
+    links = linked(cut(votes.groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("a")).select("a", F.col("id").alias("b"))))
     now = components(links)
 
     own = led.select("t", "id", "size").join(now, "id", "left").select("t", "id", "size", F.coalesce("component_id", "id").alias("c"))
@@ -167,12 +208,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
     members = cut(own.join(mixed, "t"))
     parts = members.groupBy("t", "c").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     one, two = (parts.select("t", F.col("c").alias(f"c{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in (1, 2))
-    near = F.expr(f"{den} * hi1 >= {num} * lo2 and {den} * hi2 >= {num} * lo1")
-    couples = one.join(two, "t").where("c1 < c2").where(near).select("t", "c1", "c2")
+    near = F.expr(f"c1 < c2 and {den} * hi1 >= {num} * lo2 and {den} * hi2 >= {num} * lo1")
+    couples = one.join(two, "t").where(near).select("t", "c1", "c2")
     left = members.select("t", F.col("c").alias("c1"), F.col("id").alias("x"), F.col("size").alias("sx"))
     right = members.select("t", F.col("c").alias("c2"), F.col("id").alias("y"), F.col("size").alias("sy"))
-    rest = couples.join(left, ["t", "c1"]).join(right, ["t", "c2"]).where(fits(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = verified(second_order(cut(rest), idx), sets, num, den)
+    met = couples.join(left, ["t", "c1"]).join(right, ["t", "c2"]).where(fits(F.col("sx"), F.col("sy")))
+    rest = met.groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("c")).where(enough(F.col("c"), F.col("sx"), F.col("sy"), num, den))
+    more = linked(cut(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
     comps = components(links.unionByName(more).unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     return idx.select("id", "size"), comps
 
