@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .charclass import BLANK_CLASS, CONTROL_CLASS, CONTROL_LAX_CLASS, DROPPED_CLASS, MARKER, WHITESPACE_CLASS
 
@@ -105,14 +106,21 @@ def utf8_length(text: Column) -> Column:
     return F.octet_length(text)
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def running_sum(s: pd.Series) -> pd.Series:
+    """Running sums of arrays of numbers; an expression could only build them in quadratic time."""
+    return s.map(lambda x: None if x is None else np.cumsum(x))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _byte_starts(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else np.flatnonzero((np.frombuffer(t.encode(), np.uint8) & 0xC0) != 0x80).astype(np.int32))
+
+
 def char_byte_offsets(text: Column) -> Column:
-    """array<struct<index, char>>: the UTF-8 byte offset of each code point, in one pass."""
+    """array<struct<index, char>>: the UTF-8 byte offset of each code point."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<index:int,char:string>>").alias("out"))
-    done = F.aggregate(
-        chars, start, lambda a, c: F.struct((a["at"] + F.octet_length(c)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("index"), c.alias("char")))).alias("out"))
-    )
-    return done["out"]
+    return F.arrays_zip(_byte_starts(text).alias("index"), chars.alias("char"))
 
 
 @F.pandas_udf(IntegerType())

@@ -12,12 +12,14 @@ import unicodedata
 from array import array
 from dataclasses import dataclass, field
 
-from ..functions.charclass import MARKER, WHITESPACE_SET, is_dropped
+from ..functions.charclass import CONTROL, CONTROL_RANGES, MARKER, REPLACEMENT, WHITESPACE, WHITESPACE_SET, is_dropped
 from ..schema import Mask
 from ..sources.protowire import Piece, read_model
 from ..sources.vocab import SpecialTokens, Vocab
 
 _TRAILING = re.compile(r"\s+\Z")
+_SPACE = re.compile("[" + "".join(map(chr, WHITESPACE)) + "]")
+_DROPPED = re.compile("[" + "".join(map(re.escape, map(chr, (*CONTROL, REPLACEMENT)))) + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in CONTROL_RANGES) + "]")
 
 
 class Pieces:
@@ -193,6 +195,38 @@ class Tokenizer:
             text, refs = MARKER + text, [0 if self.prefix_ref == "text" else first, *refs]
         return text, refs
 
+    def normalized_text(self, text: str) -> str:
+        """The text of ``normalized``, without positions."""
+        text = _DROPPED.sub("", _SPACE.sub(" ", text))
+        if not text.isascii():
+            text = unicodedata.normalize("NFKC", text)
+        if self.lowercase:
+            text = lower(text)
+        text = _SPACE.sub(MARKER, text)
+        return text if text.startswith(MARKER) else MARKER + text
+
+    def parts(self, text: str | None) -> list[tuple[str, bool]]:
+        """Special tokens as they are (True), and the normalized text between them."""
+        if text is None or not text.strip():
+            return []
+        specials = self.vocab.special_tokens()
+        if not any(t in text for t in specials):
+            return [(self.normalized_text(text), False)]
+        found = split_special(text, [0] * len(text), specials, self.vocab.specials.unk)
+        return [(p.text, True) if p.mask != Mask.NONE else (self.normalized_text(p.text), False) for p in found]
+
+    def _path_ids(self, text: str) -> list[int]:
+        out, run = [], ""
+        for a, b, i in self.pieces.best_path(text):
+            if i == 0:
+                run += text[a:b]
+                continue
+            if run:
+                out.append(self.vocab.token_to_id(run))
+                run = ""
+            out.append(self.vocab.token_to_id(text[a:b]))
+        return [*out, self.vocab.token_to_id(run)] if run else out
+
     def tokenize(self, text: str | None) -> list[Token]:
         if text is None or not text.strip():
             return []
@@ -208,27 +242,26 @@ class Tokenizer:
         return out
 
     def ids(self, text: str | None) -> list[int]:
-        return self.vocab.tokens_to_ids(t.text for t in self.tokenize(text))
+        """The ids of ``tokenize``."""
+        out: list[int] = []
+        for part, special in self.parts(text):
+            out += [self.vocab.token_to_id(part)] if special else self._path_ids(part)
+        return out
 
     def word_ids(self, text: str | None, most: int = 200_000) -> list[int]:
         """ids with each marked word segmented alone and remembered. Needs ``Pieces.closed``; equal to ids as long as sums are exact."""
-        if text is None or not text.strip():
-            return []
         out: list[int] = []
-        for part in split_special(text, list(range(len(text))), self.vocab.special_tokens(), self.vocab.specials.unk):
-            if part.mask != Mask.NONE:
-                out.append(self.vocab.token_to_id(part.text))
+        known = self._words
+        for part, special in self.parts(text):
+            if special:
+                out.append(self.vocab.token_to_id(part))
                 continue
-            norm, _ = self.normalized(part.text, part.refs)
-            for word in re.findall(f"{MARKER}[^{MARKER}]*|^[^{MARKER}]+", norm):
-                found = self._words.get(word)
+            for word in part[1:].split(MARKER):
+                found = known.get(word)
                 if found is None:
-                    path = self.pieces.best_path(word)
-                    nodes = merge_unknown([Token(word[a:b], []) for a, b, _ in path], [i == 0 for _, _, i in path])
-                    found = self.vocab.tokens_to_ids(t.text for t in nodes)
-                    if len(self._words) >= most:
-                        self._words.clear()
-                    self._words[word] = found
+                    if len(known) >= most:
+                        known.clear()
+                    found = known[word] = self._path_ids(MARKER + word)
                 out += found
         return out
 

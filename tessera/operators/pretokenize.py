@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.charclass import BLANK_CLASS
-from ..functions.text import clean_word, strip_accents
+from ..functions.text import clean_word, running_sum, strip_accents
 from ..schema import Mask
 
 TOKEN = "array<struct<text:string,mask:int>>"
@@ -28,18 +28,20 @@ def split_special(text: Column, tokens: list[str], unk: str | None = None) -> Co
     """array of (text, mask): special tokens in place, the text between; what stands before one loses trailing white space."""
     if not tokens:
         return F.array(F.struct(text.alias("text"), F.lit(int(Mask.NONE)).alias("mask")))
-    found = F.regexp_extract_all(text, F.lit(f"({alternation(tokens)})"), F.lit(1))
     between = F.split(text, alternation(tokens), -1)
 
-    def one(x: Column, i: Column) -> Column:
-        last = i == F.size(found)
-        token = F.get(found, i)
-        return F.array(
-            F.struct(F.when(last, x).otherwise(F.regexp_replace(x, f"{BLANK_CLASS}+$", "")).alias("text"), F.lit(int(Mask.NONE)).alias("mask")),
-            F.struct(F.coalesce(token, F.lit("")).alias("text"), F.when(token == F.lit(unk), int(Mask.UNKNOWN)).otherwise(int(Mask.SPECIAL)).alias("mask")),
-        )
+    def cut(found: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            token = F.get(found, i)
+            return F.array(
+                F.struct(F.when(token.isNull(), x).otherwise(F.regexp_replace(x, f"{BLANK_CLASS}+$", "")).alias("text"), F.lit(int(Mask.NONE)).alias("mask")),
+                F.struct(F.coalesce(token, F.lit("")).alias("text"), F.when(token == F.lit(unk), int(Mask.UNKNOWN)).otherwise(int(Mask.SPECIAL)).alias("mask")),
+            )
 
-    return F.filter(F.flatten(F.transform(between, one)), lambda x: x["text"] != "")
+        return F.filter(F.flatten(F.transform(between, one)), lambda x: x["text"] != "")
+
+    # the tokens found are bound to a lambda variable, so that they are looked for once in a text
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({alternation(tokens)})"), F.lit(1))), cut)[0]
 
 
 def whitespace_split(text: Column) -> Column:
@@ -74,10 +76,6 @@ def basic_tokenize(text: Column, specials: list[str] | None = None, unk: str | N
 def basic_offsets(text: Column) -> Column:
     """array of (text, begin, end): the same splits without special tokens, with positions in the text."""
     parts = F.regexp_extract_all(text, F.lit(r"([ \t\n\r]+|\p{P}|\p{Lo}|[^ \t\n\r\p{P}\p{Lo}]+)"), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,begin:int,end:int>>").alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        end = a["at"] + F.length(p)
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(p.alias("text"), a["at"].alias("begin"), end.alias("end")))).alias("out"))
-
-    return F.filter(F.aggregate(parts, start, step)["out"], lambda x: ~x["text"].rlike("^[ \t\n\r]"))
+    ends = running_sum(F.transform(parts, F.length))
+    placed = F.transform(F.arrays_zip(parts.alias("text"), ends.alias("end")), lambda x: F.struct(x["text"].alias("text"), (x["end"] - F.length(x["text"])).alias("begin"), x["end"].alias("end")))
+    return F.filter(placed, lambda x: ~x["text"].rlike("^[ \t\n\r]"))

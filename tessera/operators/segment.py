@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.charclass import MARKER
 from . import kernel
 from .lookup import checked_broadcast
+from .spread import spread
 
 
 def marked_words(text: Column) -> Column:
@@ -66,7 +67,7 @@ def best_path_arrow(words: DataFrame, pieces: kernel.Pieces, word: str = "word")
             paths = [[{"st": s, "en": e, "idx": i} for s, e, i in shared.value.best_path(w)] for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, kind)], names=[word, "path"])
 
-    return words.select(word).mapInArrow(run, f"{word} string, path array<struct<st:int,en:int,idx:bigint>>")
+    return spread(words.select(word)).mapInArrow(run, f"{word} string, path array<struct<st:int,en:int,idx:bigint>>")
 
 
 def path_tokens(paths: DataFrame, word: str = "word") -> DataFrame:
@@ -87,16 +88,19 @@ def merge_unknown(tokens: DataFrame, key: str = "word") -> DataFrame:
 
 
 def masks(tokens: Column, runs: Column) -> Column:
-    """Mask numbers of an array of tokens; runs tells which are merged unknown runs. A fold that carries the last mask."""
-    short = lambda t: (F.length(t) == 1) & (F.octet_length(t) <= 3)
-
-    def step(a: Column, x: Column) -> Column:
-        t = x["t"]
-        punct, space = short(t) & t.rlike(r"^\p{P}$"), short(t) & t.rlike(r"^\s$")
-        inner = ~t.startswith(MARKER) & ~a["prev"].isin(1, 2)
-        mask = F.when(punct, 2).when(space, 1).when(inner, 6).when(x["r"], 8).otherwise(0)
-        prev = F.when(punct | space, 2).when(inner, 6).otherwise(0)
-        return F.struct(prev.alias("prev"), F.concat(a["out"], F.array(mask)).alias("out"))
-
-    zipped = F.arrays_zip(tokens.alias("t"), runs.alias("r"))
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("prev"), F.array().cast("array<int>").alias("out")), step)["out"]
+    """Mask numbers of an array of tokens; runs tells which are merged unknown runs. Each depends on its token and the one before."""
+
+    def alone(t: Column, pattern: str) -> Column:
+        return (F.length(t) == 1) & (F.octet_length(t) <= 3) & t.rlike(pattern)
+
+    kinds = F.transform(tokens, lambda t: F.when(alone(t, r"^\p{P}$"), 2).when(alone(t, r"^\s$"), 1).when(~t.startswith(MARKER), 6).otherwise(0))
+
+    def one(all_kinds: Column) -> Column:
+        def mask(k: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(all_kinds, i - 1).isin(1, 2), F.lit(False))
+            plain = F.when(F.get(runs, i), 8).otherwise(0)
+            return F.when(k == 6, F.when(after, plain).otherwise(6)).when(k == 0, plain).otherwise(k)
+
+        return F.transform(all_kinds, mask)
+
+    return F.transform(F.array(kinds), one)[0]

@@ -14,6 +14,7 @@ from ..operators import encode as E
 from ..operators import lookup as L
 from ..operators import pretokenize as P
 from ..operators import segment as S
+from ..operators.spread import spread
 from ..operators.tokenize import explode_tokens, ids_column, mask_name, token_ids_column, tokens_column
 from ..schema import Truncation
 from . import vocabulary as V
@@ -34,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer(spark: SparkSession, sf_dir: str):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.charclass import MARKER, WHITESPACE_CLASS
 from ..operators.kernel import Pieces, Tokenizer
 from ..operators.segment import marked_words
+from ..operators.spread import spread
 from ..sources.vocab import SpecialTokens, Vocab
 
 SIZE = 4000
@@ -25,7 +26,7 @@ TEXTS = ("documents", "benchmark", "conversations")
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name in TEXTS:
-        one = spark.read.parquet(f"{sf_dir}/{name}.parquet").select("text")
+        one = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select("text"))
         out = one if out is None else out.unionByName(one)
     return out
 
