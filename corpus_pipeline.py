@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import langid, linededup, ngramjoin, packing, quality
 from tessera.llm.common import cut, table
+from tessera.operators.spread import spread
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
