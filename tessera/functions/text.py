@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .charclass import BLANK_CLASS, CONTROL_CLASS, CONTROL_LAX_CLASS, DROPPED_CLASS, MARKER, WHITESPACE_CLASS
+from .charclass import BLANK_CLASS, CONTROL_CLASS, CONTROL_LAX_CLASS, DROPPED_CLASS, MARKER, WHITESPACE_CLASS, byte_symbols
 
 #: Replacements that tidy decoded text, in order.
 CLEANUP = (
@@ -18,6 +18,8 @@ CLEANUP = (
     (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"),
 )
 
+_LATIN = "".join(map(chr, range(256)))
+
 
 def is_blank(text: Column) -> Column:
     """Null, empty or white space only."""
@@ -102,6 +104,16 @@ def substring_bytes(text: Column, start: int, end: int | None = None) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
+def bytes_to_symbols(text: Column) -> Column:
+    """The UTF-8 bytes of a text as one printable character each."""
+    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _LATIN, byte_symbols())
+
+
+def symbols_to_bytes(symbols: Column) -> Column:
+    """The text of such characters. NUL is lost: translating to it deletes."""
+    return F.make_valid_utf8(F.encode(F.translate(symbols, byte_symbols(), _LATIN), "ISO-8859-1").cast("string"))
+
+
 def utf8_length(text: Column) -> Column:
     return F.octet_length(text)
 

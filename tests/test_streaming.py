@@ -33,5 +33,6 @@ def test_sql_functions(spark):
     sql.register(spark, tokenizer(), "mini_")
     assert spark.sql("SELECT mini_token_ids('hi 🤔') AS x").first().x == [1274, 6, 243691]
     assert spark.sql("SELECT mini_tokenize('this').tokens AS x").first().x == ["▁this"]
+    assert spark.sql("SELECT mini_decode_ids(mini_token_ids('hi this')) AS x").first().x == " hi this"
     rows = spark.sql("SELECT * FROM mini_tokens('is th!s')").collect()
     assert [(r.pos, r.token, r.begin, r.end) for r in rows][1:] == [(1, "▁th", 2, 5), (2, "!", 5, 6), (3, "s", 6, 7)]

@@ -52,3 +52,9 @@ def test_special_split(spark):
     assert split("é \t<m> b") == [("é", 0), ("<m>", 4), (" b", 0)]
     assert split("<u><m>x") == [("<u>", 8), ("<m>", 4), ("x", 0)]
     assert split("a ") == [("a ", 0)] and split("") == []
+
+
+def test_byte_symbols(spark):
+    text = "a b\té🤔\n\x01"
+    found = one(spark, text, T.bytes_to_symbols)
+    assert found == "aĠbĉÃ©ðŁ¤ĶĊā" and one(spark, found, T.symbols_to_bytes) == text
