@@ -1,7 +1,7 @@
 """Sharding by sampled splitters; the law is ``bytes``: shards of near equal size.
 
 Rows are ordered by (hash of the text, id), so equal texts stand together. A size-weighted sample of
-these keys (Efraimidis-Spirakis priorities, ``SAMPLE`` keys whatever the input) gives quantile splitters;
+about ``SAMPLE`` of these keys, whatever the input, gives quantile splitters;
 each row finds its range by binary search; exact bytes and rows per range are added up (one row a range
 reaches the driver); ranges over ``OVERFULL`` times their share are subdivided at further sampled keys;
 consecutive ranges make a shard. A large group of equal texts spans as many ranges as its bytes need.
@@ -38,9 +38,16 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 
 def sampled(rows: DataFrame, n: int = SAMPLE) -> list[tuple[int, int]]:
-    """n keys, drawn without replacement in proportion to size, in key order."""
-    drawn = rows.select("h", "d", (-F.log(unit("h", "d", F.lit(17))) / F.col("size")).alias("p")).orderBy("p", "h", "d").limit(n)
-    return sorted({(r.h, r.d) for r in drawn.collect()})
+    """About n keys, drawn in proportion to size, in key order.
+
+    Each row draws an exponential variable whose rate is its size; those below n / total are taken. So a task
+    returns its part of the sample and no more, however many tasks there are.
+    """
+    total = rows.agg(F.sum("size")).first()[0]
+    if not total:
+        return []
+    drawn = rows.where(-F.log(unit("h", "d", F.lit(17))) / F.col("size") < n / total)
+    return sorted({(r.h, r.d) for r in drawn.select("h", "d").collect()})
 
 
 def quantiles(keys: list, n: int) -> list:
