@@ -61,6 +61,12 @@ def may_hold(filter_bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (filter_bits[slot >> 6] >> (slot & 63) & 1).astype(bool)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df, an aggregate, behind an exchange of its own: then both sides of a join on its key are exchanged for the join,
+    and adaptive execution can split the other side's hot keys."""
+    return df.hint("rebalance")
+
+
 def unit(*cols: Column | str) -> Column:
     """A number in (0, 1) that depends on the columns only."""
     low = F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1))
@@ -89,9 +95,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             return star()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(apart(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = large.join(apart(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         mark = state()
         if mark == seen:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, short_batches
+from .common import apart, components, cut, short_batches
 
 COSINE = 0.9
 WIDTH = 2.0
@@ -104,7 +104,7 @@ def links(vectors: DataFrame, threshold: float = COSINE) -> tuple[DataFrame, Dat
     vectors = cut(vectors)
     cells = cut(keys(vectors).select("id", F.explode("keys").alias("k")))
     lead = cells.groupBy("k").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("k", "lead")
-    shared = cut(cells.join(lead, "k"))
+    shared = cut(cells.join(apart(lead), "k"))
     star = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     half = math.cos(math.acos(threshold) / 2) + 1e-12
     classes = cut(cosines(star, vectors).where(F.col("cos") >= half).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")))
@@ -112,7 +112,7 @@ def links(vectors: DataFrame, threshold: float = COSINE) -> tuple[DataFrame, Dat
     classes = cut(classes.unionByName(led))
     own = shared.select("k", "id").join(classes, "id", "left").select("k", "id", F.coalesce("leader", "id").alias("c"))
     mixed = own.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("k")
-    members = cut(own.join(mixed, "k"))
+    members = cut(own.join(apart(mixed), "k"))
     groups = members.select("k", "c").distinct()
     couples = groups.select("k", F.col("c").alias("c1")).join(groups.select("k", F.col("c").alias("c2")), "k").where("c1 < c2")
     left = members.select("k", F.col("c").alias("c1"), F.col("id").alias("x"))

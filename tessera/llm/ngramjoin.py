@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, short_batches
+from .common import apart, components, cut, short_batches
 from .hashing import Sorted, mix, shingle_set, text_words
 
 #: Hashed counters of the corpus, and bits of the candidate filter; both are broadcast, so they are fixed.
@@ -190,13 +190,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
         return cut(verified(passed, cut(sets_of(docs, ends(passed), n)), num, den))
 
     first = known.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last")
-    copies = cut(known.select("id", "f1", "f2", "size").join(first, ["f1", "f2", "size"]).where("id <> rep").select("id", "rep").distinct())
+    copies = cut(known.select("id", "f1", "f2", "size").join(apart(first), ["f1", "f2", "size"]).where("id <> rep").select("id", "rep").distinct())
 
     tokens = known.select("id", F.col("size").cast("int").alias("size"), F.explode("p1").alias("t"))
     twice = tokens.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("t")
-    shared = cut(tokens.join(twice, "t").join(copies, "id", "left").select("t", F.coalesce("rep", "id").alias("id"), "size").distinct())
+    shared = cut(tokens.join(apart(twice), "t").join(copies, "id", "left").select("t", F.coalesce("rep", "id").alias("id"), "size").distinct())
     lead = shared.groupBy("t").agg(F.min(F.struct("id", "size")).alias("x"), F.max("id").alias("hi")).where("x.id < hi")
-    led = cut(shared.join(lead.select("t", F.col("x.id").alias("lead"), F.col("x.size").alias("lsize")), "t"))
+    led = cut(shared.join(apart(lead.select("t", F.col("x.id").alias("lead"), F.col("x.size").alias("lsize"))), "t"))
 
     votes = led.where((F.col("id") != F.col("lead")) & fits(F.col("size"), F.col("lsize"))).groupBy("id", "size", "lead", "lsize").agg(F.count("*").alias("c"))
     votes = votes.where(enough(F.col("c"), F.col("size"), F.col("lsize"), num, den))
@@ -205,7 +205,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
 
     own = led.select("t", "id", "size").join(now, "id", "left").select("t", "id", "size", F.coalesce("component_id", "id").alias("c"))
     mixed = own.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    members = cut(own.join(mixed, "t"))
+    members = cut(own.join(apart(mixed), "t"))
     parts = members.groupBy("t", "c").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     one, two = (parts.select("t", F.col("c").alias(f"c{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in (1, 2))
     near = F.expr(f"c1 < c2 and {den} * hi1 >= {num} * lo2 and {den} * hi2 >= {num} * lo1")
