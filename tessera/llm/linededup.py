@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, may_hold, short_batches
+from .common import apart, bit_filter, cut, may_hold, short_batches
 from .hashing import mix, text_words
 
 LEAST = 5
@@ -205,20 +205,31 @@ def removed(docs: DataFrame) -> DataFrame:
     kept = cut(variants(docs, bit_filter(cores, "core")))
     shared = several(kept.where("size(v1) > 0").select(F.explode(F.concat("v1", F.array("h1"))).alias("v"), "h1"), "v")
     firsts = kept.groupBy("h1", "h2").agg(F.min(at).alias("first"))
-    each = cut(met_variants(kept, bit_filter(shared, "v")).distinct().join(firsts, ["h1", "h2"]))
+    each = cut(met_variants(kept, bit_filter(shared, "v")).distinct().join(apart(firsts), ["h1", "h2"]))
     # the earliest line of each variant: among the lines without the word at that place, the line itself, and all
     by_place = each.where("place >= 0").groupBy("v1", "v2", "place").agg(F.min("first").alias("e"))
     by_variant = each.groupBy("v1", "v2").agg(F.min(F.when(F.col("place") < 0, F.col("first"))).alias("own"), F.min("first").alias("e"))
-    cut_line = each.where("place >= 0").join(by_place, ["v1", "v2", "place"]).join(by_variant.select("v1", "v2", "own"), ["v1", "v2"])
+    cut_line = each.where("place >= 0").join(apart(by_place), ["v1", "v2", "place"]).join(apart(by_variant.select("v1", "v2", "own")), ["v1", "v2"])
     late = cut_line.where((F.col("e") < F.col("first")) | (F.col("own") < F.col("first"))).select("h1", "h2")
-    late = late.unionByName(each.where("place < 0").join(by_variant.select("v1", "v2", "e"), ["v1", "v2"]).where(F.col("e") < F.col("first")).select("h1", "h2")).distinct()
+    late = late.unionByName(each.where("place < 0").join(apart(by_variant.select("v1", "v2", "e")), ["v1", "v2"]).where(F.col("e") < F.col("first")).select("h1", "h2")).distinct()
     again = found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "first")
     gone = again.join(late.withColumn("late", F.lit(True)), ["h1", "h2"], "full")
     gone = cut(gone.select("h1", "h2", F.when(F.col("late"), F.lit(None)).otherwise(F.col("first")).alias("stays")))
-    out = found.select("doc", "key", "line", "h1", "h2").join(gone, ["h1", "h2"]).where(~F.coalesce(F.col("stays") == at, F.lit(False)))
+    out = _may_go(found.select("doc", "key", "line", "h1", "h2"), gone).join(gone, ["h1", "h2"]).where(~F.coalesce(F.col("stays") == at, F.lit(False)))
     return out.groupBy("doc", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _may_go(found: DataFrame, gone: DataFrame) -> DataFrame:
+    """The occurrences whose line may be in gone."""
+    wanted = found.sparkSession.sparkContext.broadcast(bit_filter(gone, "h1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_hold(wanted.value, b.column(3).to_numpy())))
+
+    return found.mapInArrow(run, "doc long, key int, line int, h1 long, h2 int")
+
+
 def _identity() -> Column:
     return F.xxhash64("id", "key")
 
@@ -234,20 +245,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flag = may_hold(bits.value, b.column(b.num_columns - 1).to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(flag)], names=["row", "id", "key", "text", "maybe"])
+            flag = may_hold(bits.value, b.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(flag)], names=["row", "id", "key", "maybe"])
 
     kind = base.schema["row"].dataType.simpleString()
-    marked = base.select("*", _identity().alias("k")).mapInArrow(run, f"row {kind}, id long, key int, text string, maybe boolean")
-    split = F.split("text", "\n")
+    marked = base.select("row", "id", "key", _identity().alias("k")).mapInArrow(run, f"row {kind}, id long, key int, maybe boolean")
+    own = F.col(f"row.`{text}`")
+    split = F.split(own, "\n")
     n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines")
     some = marked.where("maybe")
     joined = some.join(gone, some["id"].eqNullSafe(gone["doc"]) & (some["key"] == gone["key"]), "left")
     less = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("lines", i)), "\n")
     changed = joined.select(
-        "row", F.when(F.col("lines").isNull(), F.col("text")).otherwise(less).alias("text"), n_lines, F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed")
+        "row", F.when(F.col("lines").isNull(), own).otherwise(less).alias("text"), n_lines, F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed")
     )
-    return changed.unionByName(marked.where("not maybe").select("row", "text", n_lines, F.lit(0).cast("long").alias("n_removed")))
+    return changed.unionByName(marked.where("not maybe").select("row", own.alias("text"), n_lines, F.lit(0).cast("long").alias("n_removed")))
 
 
 def query(docs: DataFrame) -> DataFrame:
