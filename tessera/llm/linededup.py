@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Lines (cut at line breaks) are compared as sequences of words, lower-cased in A-Z. A line of at least
-``LEAST`` words is removed if an earlier line, in the order of (id, line number), is equal or, for lines of at
-least ``NEAR`` words, within one word edit (insertion, deletion, substitution). Shorter lines always stay.
+``LEAST`` words, that is any line with a word, is removed if an earlier line, in the order of (id, line number), is
+equal or, for lines of at least ``NEAR`` words, within one word edit (insertion, deletion, substitution). Lines without
+words always stay. Words are cut at white space, so a line of a text without spaces is one word: it goes if it is repeated exactly.
 
 The deletion neighbourhood of a line is the line itself and the line without each of its words. Two lines
 are within one edit exactly if they share a variant that either is one of the lines itself or lacks the word at the same
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import apart, bit_filter, cut, may_hold, short_batches
 from .hashing import mix, text_words
 
-LEAST = 5
+LEAST = 1
 NEAR = 8
 #: Lines that a task remembers having met.
 MET = 1 << 20

@@ -70,3 +70,12 @@ def test_edges(spark):
     kept = L.keep(docs)
     assert kept.columns == docs.columns and 100 not in [r.doc_id for r in kept.collect()]
     assert L.query(edge.empty(spark)).count() == 0
+
+
+def test_equal_lines_of_any_length_go(spark):
+    docs = [(1, "All rights reserved.\n今日は良い天気です。\n\nx"), (2, "ALL  rights reserved.\n今日は良い天気です。\n\none more"), (3, "all rights reserved.\nx\n "), (4, "all rights\nx y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in L.query(df).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("\none more", 2), 3: (" ", 2), 4: (docs[3][1], 0)}
+    kept = L.keep(df.selectExpr("doc_id", "text", "cast(length(text) as bigint) as n_chars"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
