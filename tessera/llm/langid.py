@@ -7,8 +7,8 @@ back-off weights. A text gets the language of the lowest cross-entropy per symbo
 on training rows kept out of the counts: a text is rejected when its cross-entropy exceeds their mean by
 more than their upper tail plus ``SIGMAS`` standard errors for its length.
 
-The models are fitted on a bounded sample, about ``TRAIN_ROWS`` labelled rows per language and the
-``LANGUAGES`` most frequent labels; prediction reads every whole text. Null texts and texts without a
+The models are fitted on about ``TRAIN_ROWS`` labelled rows of every label, so their size grows with the
+number of labels but not with the rows; prediction reads every whole text. Null texts and texts without a
 letter are ``und`` with score 0 and count as rejected; without any labelled row every text is. Ties go to
 the first label in sorted order. Rows are judged one by one, so repeated rows and null ids change nothing.
 """
@@ -27,7 +27,6 @@ from .hashing import Sorted, mix
 
 ORDER = 4
 TRAIN_ROWS = 200
-LANGUAGES = 64
 SIGMAS = 8.0
 #: Nats per symbol above the mean that no text is rejected for.
 LEAST_TAIL = 1.6
@@ -201,16 +200,12 @@ class Model:
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", seed: str | None = "doc_id", per_lang: int = TRAIN_ROWS) -> Model:
-    """A model from about per_lang labelled rows of each of the most frequent labels, drawn by a hash of the seed column."""
+    """A model from about per_lang labelled rows of each label, drawn by a hash of the seed column."""
     base = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), (F.col(seed) if seed else F.xxhash64(text)).alias("s")).where("t is not null and l is not null")
-    sizes = {r.l: r.n for r in base.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+    shares = base.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count("*")).alias("share"))
     found: dict[str, list[str]] = {}
-    if sizes:
-        share = F.lit(0.0)
-        for name, n in sizes.items():
-            share = F.when(F.col("l") == name, F.lit(min(1.0, per_lang / n))).otherwise(share)
-        for r in base.where(unit(F.col("s"), F.lit(71)) < share).collect():
-            found.setdefault(r.l, []).append(r.t)
+    for r in base.join(F.broadcast(shares), "l").where(unit(F.col("s"), F.lit(71)) < F.col("share")).select("l", "t").collect():
+        found.setdefault(r.l, []).append(r.t)
     return Model({k: sorted(v) for k, v in found.items()})
 
 

@@ -82,3 +82,17 @@ def test_edges(spark):
     assert L.keep(docs).columns == docs.columns
     assert L.query(edge.empty(spark)).count() == 0
     assert {r.lang_pred for r in L.identify(docs, L.Model({})).collect()} == {"und"}
+
+
+def test_every_label_gets_a_model(spark):
+    rnd = random.Random(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4 * 70)]
+    rows = []
+    for k in range(70):
+        own = letters[4 * k : 4 * k + 4]
+        rows += [(len(rows) + i, "".join(rnd.choice([*own, " "]) for _ in range(80)), f"l{k:02}") for i in range(4 if k < 64 else 3)]
+    docs = spark.createDataFrame([*rows, (-1, "no label", None)], "doc_id long, text string, lang string").repartition(4)
+    model = L.train(docs)
+    assert model.langs == sorted({r[2] for r in rows})
+    assert model.predict([r[1] for r in rows])[0] == [r[2] for r in rows]
+    assert {r.doc_id for r in L.keep(docs).collect()} >= {r[0] for r in rows}
