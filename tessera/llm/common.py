@@ -25,20 +25,41 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share. Only a local session that names none, as in tests, gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: ends the lineage and outlives lost executors."""
+    """Write df to the shared folder and read it back: ends the lineage and outlives lost executors.
+
+    The folder goes when the application ends, or earlier by ``drop``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    place, system = _file(spark, path)
+    system.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by ``cut`` that nothing reads any more."""
+    for t in tables:
+        place, system = _file(t.sparkSession, t._cut)
+        system.delete(place, True)
+
+
+def _file(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def bit_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:

@@ -1,27 +1,29 @@
 """N-gram Jaccard join by multiple-global-order prefix filtering.
 
-A document's set is its distinct n-word shingles. If two sets reach the threshold t, then under any global
-order of the tokens their prefixes of size - ceil(t * size) + 1 tokens share a token; more, the shared prefix tokens
-and what either set has beyond its prefix must add up to the overlap the threshold needs. Two orders are used:
-both put common tokens last, within a class of commonness one takes one hash and the other another.
-Candidates share enough prefix tokens under the first order and have compatible sizes; those that don't under
-the second are dropped; the rest are verified on the whole sets.
-
-Commonness comes from all documents: ``BUCKETS`` hashed counters of all shingles, and the ``HOT`` most frequent
-tokens of the prefixes that these counters give. Both only order tokens; no candidate depends on them.
-
-Groups of copies are not expanded into pairs: equal sets are one representative; each representative is
-first verified against one leader, the smallest representative of its prefix tokens with which it shares most;
-components of these links are formed; then prefix tokens that still hold several components are joined,
-component against component, and every remaining candidate pair is verified. Links between different sets
-that would not join components are the only ones not looked at.
-
-Shingles are 64-bit hashes. Documents without words have an empty set and link with nothing, as do null
-ids; rows that repeat an id are one document whose rows' sets count as alternatives. Whole texts are read.
+A document's set is its distinct n-word shingles. If two sets reach the threshold, then under any global order of the
+tokens the first token that they share stands early in both: what follows it in either set must make up the overlap that
+the threshold needs. So a set shows only its first tokens, fewer to sets of its own size than to smaller ones, and
+candidates meet on equal tokens and size classes. Three orders are used. The first puts common tokens last and
+gives the candidates; the second breaks ties otherwise, and candidates that don't share enough under it are dropped; the
+third ranks by the exact frequency among the sets of crowded tokens and replaces the first for them. What
+passes is verified on the whole sets.
+
+Commonness in the first two comes from all documents: ``BUCKETS`` hashed counters of all shingles, and the counts of the
+most frequent tokens of the prefixes that these counters give. Orders only decide how much is compared, never what is linked.
+
+Groups of copies are not expanded into pairs: equal sets are one node; each node is first verified against one leader,
+the smallest node of its prefix tokens with which it shares most, and components of these links are formed; then
+only nodes of different components are candidates. Where more than ``CROWD`` nodes of several components meet in one token and
+size class, they are compared under the third order instead, whose first tokens are the rare ones that tell near copies
+apart. Links between different sets that would not join components are the only ones not looked at.
+
+Shingles are 64-bit hashes, sets are told apart by 64 bits of hashes of them. Documents without words have an empty set and link
+with nothing, as do null ids; rows that repeat an id are one document, each row's set counts as an alternative. Whole texts are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, components, cut, short_batches
+from .common import apart, components, cut, drop, short_batches
 from .hashing import Sorted, mix, shingle_set, text_words
 
 #: Hashed counters of the corpus, and bits of the candidate filter; both are broadcast, so they are fixed.
 BUCKETS = 1 << 16
 FILTER_BITS = 1 << 23
-#: At most so many tokens, each in the prefixes of at least HOT_DOCS documents, are put last; their hashes are broadcast.
+#: Tokens in the prefixes of at least HOT_DOCS documents are put last, the commonest at the very end; the broadcast holds at most HOT of them.
 HOT = 1 << 18
 HOT_DOCS = 32
+#: More nodes than that at one token and size class are compared under their own order.
+CROWD = 64
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
@@ -74,18 +78,18 @@ def classes(counts: np.ndarray) -> np.ndarray:
 
 
 def index(docs: DataFrame, n: int, num: int, den: int, rank, hot, prefixes_only: bool = False) -> DataFrame:
-    """Per row: id, size, f1 and f2 (fingerprints of the set), p1 and p2 (prefixes under the two orders).
+    """Per row: id, size, g (hash of the set), p1 and p2 (prefixes under the two orders).
 
-    rank is a broadcast of ``classes``, hot one of a sorted array of tokens that come after all others.
+    rank is a broadcast of ``classes``, hot one of (sorted tokens that come after all others, their classes).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, last = rank.value, Sorted(hot.value)
+        common, last, later = rank.value, Sorted(hot.value[0]), np.append(hot.value[1], np.uint8(0))
         for b in batches:
-            sizes, f1, f2, p1, p2 = [], [], [], [], []
+            sizes, g, p1, p2 = [], [], [], []
             sets = _sets(b.column(1).to_pylist(), n)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            late = common[(flat >> _SHIFT).astype(np.int64)] + 64 * (last.find(flat) >= 0).astype(np.uint8)
+            late = common[(flat >> _SHIFT).astype(np.int64)] + later[last.find(flat)]
             other = mix(flat ^ _OTHER)
             at = 0
             for s in sets:
@@ -97,44 +101,61 @@ def index(docs: DataFrame, n: int, num: int, den: int, rank, hot, prefixes_only:
                 if not prefixes_only:
                     p2.append(s[np.lexsort((o, c))[:keep]].view(np.int64))
                     sizes.append(k)
-                    f1.append(int(o.sum(dtype=np.uint64).view(np.int64)) if k else 0)
-                    f2.append(int(np.bitwise_xor.reduce(mix(o)).view(np.int64)) if k else 0)
+                    g.append(_node(o))
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]).astype(np.int32)), pa.array(np.concatenate([*p, np.zeros(0, np.int64)]))) for p in (p1, p2)]
             if prefixes_only:
                 yield pa.RecordBatch.from_arrays(lists[:1], names=["p1"])
             else:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *lists], names=["id", "size", "f1", "f2", "p1", "p2"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(g, pa.int64()), *lists], names=["id", "size", "g", "p1", "p2"])
 
     short_batches(docs.sparkSession)
-    return docs.select("id", "text").mapInArrow(run, "p1 array<long>" if prefixes_only else "id long, size long, f1 long, f2 long, p1 array<long>, p2 array<long>")
+    return docs.select("id", "text").mapInArrow(run, "p1 array<long>" if prefixes_only else "id long, size long, g long, p1 array<long>, p2 array<long>")
+
+
+def _node(other: np.ndarray) -> int:
+    """A hash of a set, from the second hashes of its tokens."""
+    total = np.array([other.sum(dtype=np.uint64) + np.uint64(len(other)), np.bitwise_xor.reduce(mix(other))]) if len(other) else np.zeros(2, np.uint64)
+    return int(mix(total[:1] ^ mix(total[1:]))[0].view(np.int64))
 
 
 def ordered_index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``index`` with both measures of commonness."""
+    """``index`` with both measures of commonness, written."""
     sc = docs.sparkSession.sparkContext
     rank = sc.broadcast(classes(corpus_counts(docs, n)))
-    seen = index(docs, n, num, den, rank, sc.broadcast(np.zeros(0, np.uint64)), prefixes_only=True).select(F.explode("p1").alias("t"))
-    often = seen.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_DOCS).orderBy(F.desc("c"), "t").limit(HOT).select("t").toPandas()
-    hot = np.sort(often["t"].to_numpy().astype(np.int64).view(np.uint64))
-    return index(docs, n, num, den, rank, sc.broadcast(hot))
+    none = sc.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.uint8)))
+    seen = index(docs, n, num, den, rank, none, prefixes_only=True).select(F.explode("p1").alias("t"))
+    often = cut(seen.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_DOCS).select("t", F.floor(F.log2("c")).cast("int").alias("k")))
+    least, held = 64, 0
+    for r in sorted(often.groupBy("k").agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r.n
+        least = r.k if held <= HOT else least
+    found = often.where(F.col("k") >= least).toPandas().sort_values("t")
+    tokens = found["t"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    hot = sc.broadcast((tokens[order], (64 + found["k"].to_numpy()[order]).astype(np.uint8)))
+    out = cut(index(docs, n, num, den, rank, hot))
+    drop(often)
+    for b in (rank, none, hot):
+        b.destroy()
+    return out
 
 
 def _slot() -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, s): the sets of the documents in ids, made again from their texts.
+def sets_of(docs: DataFrame, idx: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(g, s), written: the sets of the nodes, made again from the text of one document each.
 
     A filter of fixed size, one bit per hash of an id, spares the other documents; a join removes what
     passes by chance.
     """
-    spark = docs.sparkSession
+    ids = idx.where("id is not null").join(nodes, "g", "left_semi").groupBy("g").agg(F.min("id").alias("id")).select("id").distinct()
     word = ids.select((_slot() / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))").alias("m"))
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     for r in word.groupBy("w").agg(F.bit_or("m").alias("m")).collect():
         bits[r.w] = r.m
-    wanted = spark.sparkContext.broadcast(bits)
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,18 +163,19 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             hit = np.flatnonzero(wanted.value[slot >> 6] >> (slot & 63) & 1)
             if not len(hit):
                 continue
-            b = b.take(pa.array(hit))
-            found = _sets(b.column(1).to_pylist(), n)
+            found = _sets(b.column(1).take(pa.array(hit)).to_pylist(), n)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(mix(s ^ _OTHER)) for s in found], pa.int64()), lists], names=["g", "s"])
 
-    passed = docs.where("id is not null").select("id", "text", _slot().alias("slot")).mapInArrow(run, "id long, s array<long>")
-    return passed.join(ids, "id", "left_semi")
+    passed = docs.where("id is not null").select("id", "text", _slot().alias("slot")).mapInArrow(run, "g long, s array<long>")
+    out = cut(passed.join(nodes, "g", "left_semi").groupBy("g").agg(F.first("s").alias("s")))
+    wanted.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The candidate pairs (a, b) whose sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("g").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("g").alias("b"), F.col("s").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
     sized = both.select("a", "b", inter.alias("i"), (F.size("x") + F.size("y")).alias("n"))
     return sized.where(F.lit(den) * F.col("i") >= F.lit(num) * (F.col("n") - F.col("i"))).select("a", "b").distinct()
@@ -170,67 +192,122 @@ def enough(c: Column, nx: Column, ny: Column, num: int, den: int) -> Column:
 
 def second_order(pairs: DataFrame, idx: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that share enough prefix tokens under the second order too."""
-    p = idx.select("id", "size", "p2")
-    x = p.select(F.col("id").alias("a"), F.col("size").alias("nx"), F.col("p2").alias("x"))
-    y = p.select(F.col("id").alias("b"), F.col("size").alias("ny"), F.col("p2").alias("y"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()
+    p = idx.join(ends, "g", "left_semi").groupBy("g").agg(F.first("size").alias("size"), F.first("p2").alias("p2"))
+    x = p.select(F.col("g").alias("a"), F.col("size").alias("nx"), F.col("p2").alias("x"))
+    y = p.select(F.col("g").alias("b"), F.col("size").alias("ny"), F.col("p2").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return pairs.join(x, "a").join(y, "b").where((shared > 0) & enough(shared, F.col("nx"), F.col("ny"), num, den)).select("a", "b").distinct()
 
 
+def overlap(x: Column, y: Column, num: int, den: int) -> Column:
+    """The least number of shared tokens that links sets of x and y tokens."""
+    return F.floor((num * (x + y) + num + den - 1) / (num + den))
+
+
+def shown(tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """(t, b, g, size, pos, c, own): the tokens (t, g, size, pos, c) that a set shows to sets of size class b.
+
+    To the classes of sets of its own size or smaller, so many of its first tokens that the first shared one is among
+    them; own marks those that it shows to sets of its size or larger.
+    """
+    step = max(math.log(den / num) / 2, 1e-3)
+    bucket = lambda x: F.floor(F.log(x.cast("double")) / step)
+    size, pos = F.col("size"), F.col("pos")
+    lowest = F.floor((num * size + den - 1) / den)
+    each = tokens.withColumn("b", F.explode(F.sequence(bucket(lowest), bucket(size))))
+    smallest = F.greatest(lowest, F.floor(F.exp(F.col("b") * step)))
+    own = (F.col("b") == bucket(size)) & (pos <= size - overlap(size, size, num, den))
+    return each.where(pos <= size - overlap(F.least(smallest, size), size, num, den)).select("t", "b", "g", "size", "pos", "c", own.alias("own"))
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows of ``shown`` whose token and size class hold several components, with the number of their nodes."""
+    groups = rows.groupBy("t", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.max("own").alias("any"))
+    return rows.join(apart(groups.where("lo < hi and any").select("t", "b", "n")), ["t", "b"])
+
+
+def met(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) of rows of ``shown``: of different components, the shorter set's own tokens against the longer's."""
+    x = rows.where("own").select("t", "b", F.col("g").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
+    y = rows.select("t", "b", F.col("g").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    fits = f"cx <> cy and (nx < ny or nx = ny and x < y) and {den} * nx >= {num} * ny"
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("t", "b")]
+    pairs = x.alias("l").join(y.alias("r"), [*same, F.expr(fits), rest >= overlap(F.col("nx"), F.col("ny"), num, den)])
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def by_rarity(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(t, g, size, pos): the prefix tokens of sets under the order of their frequency among these sets; tokens that stand in one set only are left out."""
+    each = sets.select("g", F.size("s").alias("size"), F.explode("s").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = each.join(apart(often), "t").groupBy("g", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("a"))
+    alone = F.col("size") - F.size("a")
+    prefix = F.col("size") - F.floor((num * F.col("size") + den - 1) / den) + 1
+    first = ranked.where(alone < prefix).select("g", "size", alone.alias("alone"), F.posexplode(F.slice("a", F.lit(1), (prefix - alone).cast("int"))).alias("i", "x"))
+    return first.select(F.col("x.t").alias("t"), "g", "size", (F.col("alone") + F.col("i")).alias("pos"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(idx, comps): per row id and size; (id, component_id) of all linked ids. Links: den * |A & B| >= num * |A | B|."""
+    """(idx, comps): per row id, size and node g; (g, component_id) of all nodes, component_id being the smallest id reachable.
+
+    Links: den * |A & B| >= num * |A | B|.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    idx = cut(ordered_index(docs, n, num, den))
+    idx = ordered_index(docs, n, num, den)
     known = idx.where("id is not null and size > 0")
     fits = lambda x, y: (F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y))
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         passed = cut(second_order(pairs, idx, num, den))
-        return cut(verified(passed, cut(sets_of(docs, ends(passed), n)), num, den))
-
-    first = known.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last")
-    copies = cut(known.select("id", "f1", "f2", "size").join(apart(first), ["f1", "f2", "size"]).where("id <> rep").select("id", "rep").distinct())
-
-    tokens = known.select("id", F.col("size").cast("int").alias("size"), F.explode("p1").alias("t"))
-    twice = tokens.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("t")
-    shared = cut(tokens.join(apart(twice), "t").join(copies, "id", "left").select("t", F.coalesce("rep", "id").alias("id"), "size").distinct())
-    lead = shared.groupBy("t").agg(F.min(F.struct("id", "size")).alias("x"), F.max("id").alias("hi")).where("x.id < hi")
-    led = cut(shared.join(apart(lead.select("t", F.col("x.id").alias("lead"), F.col("x.size").alias("lsize"))), "t"))
-
-    votes = led.where((F.col("id") != F.col("lead")) & fits(F.col("size"), F.col("lsize"))).groupBy("id", "size", "lead", "lsize").agg(F.count("*").alias("c"))
-    votes = votes.where(enough(F.col("c"), F.col("size"), F.col("lsize"), num, den))
-    links = linked(cut(votes.groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("a")).select("a", F.col("id").alias("b"))))
-    now = components(links)
-
-    own = led.select("t", "id", "size").join(now, "id", "left").select("t", "id", "size", F.coalesce("component_id", "id").alias("c"))
-    mixed = own.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    members = cut(own.join(apart(mixed), "t"))
-    parts = members.groupBy("t", "c").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    one, two = (parts.select("t", F.col("c").alias(f"c{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in (1, 2))
-    near = F.expr(f"c1 < c2 and {den} * hi1 >= {num} * lo2 and {den} * hi2 >= {num} * lo1")
-    couples = one.join(two, "t").where(near).select("t", "c1", "c2")
-    left = members.select("t", F.col("c").alias("c1"), F.col("id").alias("x"), F.col("size").alias("sx"))
-    right = members.select("t", F.col("c").alias("c2"), F.col("id").alias("y"), F.col("size").alias("sy"))
-    met = couples.join(left, ["t", "c1"]).join(right, ["t", "c2"]).where(fits(F.col("sx"), F.col("sy")))
-    rest = met.groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("c")).where(enough(F.col("c"), F.col("sx"), F.col("sy"), num, den))
-    more = linked(cut(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
-    comps = components(links.unionByName(more).unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
-    return idx.select("id", "size"), comps
+        sets = sets_of(docs, idx, passed.select(F.explode(F.array("a", "b")).alias("g")).distinct(), n)
+        out = cut(verified(passed, sets, num, den))
+        drop(passed, sets, pairs)
+        return out
+
+    tokens = known.select("g", F.col("size").cast("int").alias("size"), F.posexplode("p1").alias("pos", "t"))
+    twice = tokens.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t")
+    shared = cut(tokens.join(apart(twice), "t").distinct())
+
+    lead = shared.groupBy("t").agg(F.min(F.struct("g", "size")).alias("x")).select("t", F.col("x.g").alias("lead"), F.col("x.size").alias("lsize"))
+    led = shared.join(apart(lead), "t").where((F.col("g") != F.col("lead")) & fits(F.col("size"), F.col("lsize")))
+    votes = led.groupBy("g", "size", "lead", "lsize").agg(F.count("*").alias("c")).where(enough(F.col("c"), F.col("size"), F.col("lsize"), num, den))
+    links = linked(cut(votes.groupBy("g").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("a")).select("a", F.col("g").alias("b"))))
+    now = components(links).select(F.col("id").alias("g"), F.col("component_id").alias("c"))
+    placed = lambda rows: rows.join(apart(now), "g", "left").withColumn("c", F.coalesce("c", "g"))
+
+    several = cut(mixed(shown(placed(shared), num, den)))
+    drop(shared)
+    crowds = sets_of(docs, idx, several.where(F.col("n") > CROWD).select("g").distinct(), n)
+    near = met(several.where(F.col("n") <= CROWD), num, den).unionByName(met(cut(mixed(shown(placed(by_rarity(crowds, num, den)), num, den))), num, den))
+    more = linked(cut(near.distinct()))
+    drop(several, crowds)
+
+    several = known.groupBy("id").agg(F.min("g").alias("a"), F.max("g").alias("z")).where("a < z")  # an id's sets are one document
+    same = known.join(apart(several.select("id", "a")), "id").select("a", F.col("g").alias("b")).where("a <> b")
+    joined = components(links.unionByName(more).unionByName(same.distinct())).select(F.col("id").alias("g"), F.col("component_id").alias("c"))
+    ids = known.groupBy("g").agg(F.min("id").alias("id")).join(joined, "g", "left").select("g", "id", F.coalesce("c", "g").alias("c"))
+    least = ids.groupBy("c").agg(F.min("id").alias("component_id"))
+    return idx.select("id", "size", "g"), cut(ids.join(apart(least), "c").select("g", "component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     idx, comps = groups(docs, n=3, num=90, den=100)
-    return idx.join(comps, "id", "left").select(
-        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    found = F.when(F.col("size") > 0, F.col("component_id"))
+    return idx.join(apart(comps), "g", "left").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(found, "id")).alias("component_id"))
 
 
 def keep(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group, the one with the smallest id; documents without words, with null ids or alone stay."""
-    _, comps = groups(docs, n=n, num=num, den=den)
-    gone = comps.where("id <> component_id").select("id")
-    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    """One document of each group, the one with the smallest id; documents without words or alone stay. Of rows that agree in id, null or not, and text, one stays."""
+    idx, comps = groups(docs, n=n, num=num, den=den)
+    gone = idx.where("id is not null and size > 0").join(apart(comps), "g").where("id <> component_id").select("id").distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["id"], "left_anti")
+    repeated = idx.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if repeated.isEmpty():
+        return left
+    again = left["doc_id"].cast("long").eqNullSafe(repeated["id"])
+    return left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 SQL = r"""

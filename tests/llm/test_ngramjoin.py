@@ -44,12 +44,41 @@ def corpus(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("seed", "n", "num"), [(1, 3, 90), (2, 5, 80), (3, 3, 50)])
-def test_components_against_brute_force(spark, seed, n, num):
-    docs = corpus(seed)
+def found(spark, docs, n, num):
     idx, comps = J.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), n=n, num=num, den=100)
-    got = {r.id: (r.size, r.component_id if r.component_id is not None else r.id) for r in idx.join(comps, "id", "left").collect()}
-    assert got == brute(docs, n, num, 100)
+    return {r.id: (r.size, r.component_id if r.component_id is not None else r.id) for r in idx.join(comps, "g", "left").collect()}
+
+
+@pytest.mark.parametrize(("seed", "n", "num", "crowd"), [(1, 3, 90, 64), (2, 5, 80, 1), (3, 3, 50, 2), (4, 3, 100, 1)])
+def test_components_against_brute_force(spark, monkeypatch, seed, n, num, crowd):
+    """With a small CROWD the nodes of nearly every shared token are compared under their own order."""
+    monkeypatch.setattr(J, "CROWD", crowd)
+    docs = corpus(seed)
+    assert found(spark, docs, n, num) == brute(docs, n, num, 100)
+
+
+def test_pairs_of_a_crowd_are_not_listed(spark):
+    """Near copies that differ too much to be linked: their first tokens are their own, so hardly any meet."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(40)]
+    docs = []
+    for i in range(300):
+        w = list(base)
+        for k in rnd.sample(range(40), 3):
+            w[k] = f"own{i}x{k}"
+        docs.append((i, " ".join(w)))
+    sets_ = spark.createDataFrame([(i, [hash(x) for x in sets(t, 3)]) for i, t in docs], "g long, s array<long>")
+    tokens = J.by_rarity(sets_, 90, 100).selectExpr("*", "g as c")
+    assert J.met(J.mixed(J.shown(tokens, 90, 100)), 90, 100).count() < 300
+    assert found(spark, docs, 3, 90) == brute(docs, 3, 90, 100)
+
+
+def test_repeated_ids_are_one_document(spark):
+    """The sets of the rows of an id are alternatives: each can link it."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [(1, a), (5, a + " x"), (5, b), (7, b + " y"), (9, "other words here")]
+    got = {(r.doc_id, r.component_id) for r in J.query(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (9, 9)}
 
 
 def test_hot_tokens_change_nothing(spark, monkeypatch):
@@ -67,5 +96,5 @@ def test_edges(spark):
     assert by[0].n_shingles == 0 and by[1].component_id == 1 and by[5].component_id == 5 and by[100].component_id == 5 and by[3].n_shingles == 1
     docs = edge.documents(spark)
     kept = J.keep(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 5, 5, 6, 7, 8, 9]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
     assert J.query(edge.empty(spark)).count() == 0
