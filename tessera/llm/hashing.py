@@ -7,6 +7,8 @@ computes the same hashes.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _rng = np.random.default_rng(20240611)
@@ -14,7 +16,8 @@ _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C13 | 1
 _M = [int(x) | 1 for x in _rng.integers(1 << 61, 1 << 63, 16)]
-CHUNK = 1 << 21
+#: Bytes that are hashed at once, so that a worker's tables and temporary arrays stay small.
+CHUNK = 1 << 18
 
 #: Byte -> whether it belongs to a word, for words [^\x20\x09-\x0D]+ of UTF-8 text.
 WORD = np.ones(256, dtype=bool)
@@ -77,26 +80,51 @@ def fold(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def chunks(texts: list[bytes], most: int = CHUNK):
-    """Groups of texts of about most bytes: (index of the first, bytes of all joined by \n, where each starts)."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
+    """Groups of neighbouring texts of at most about ``most`` bytes, each (texts, whether they end their text); a longer text comes
+    in parts that are cut between words, so that only a single longer word makes a longer group."""
+    group, ends, size = [], [], 0
+    for t in texts:
         if size and size + len(t) > most:
-            yield at, texts[at:i]
-            at, size = i, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield at, texts[at:]
+            yield group, ends
+            group, ends, size = [], [], 0
+        at = 0
+        while len(t) - at > most:
+            end = _gap(t, at + most)
+            if end is None:
+                break
+            yield [t[at:end]], [False]
+            at = end
+        group.append(t[at:] if at else t)
+        ends.append(True)
+        size += len(t) - at + 1
+    if group:
+        yield group, ends
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _gap(text: bytes, at: int) -> int | None:
+    """The first place from at on where white space begins."""
+    found = _SPACE.search(text, at)
+    return found.start() if found else None
 
 
 def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, one after the other, and where each text's words start (one more than texts)."""
-    hashes, counts = [], [np.zeros(1, dtype=np.int64)]
-    for _, group in chunks(texts):
+    hashes, counts, open_words = [], [np.zeros(1, dtype=np.int64)], 0
+    for group, ends in chunks(texts):
         data = np.frombuffer(b"\n".join(group) + b"\n", dtype=np.uint8)
-        starts, ends = spans(data, WORD)
-        hashes.append(word_hashes(data, starts, ends))
+        starts, stops = spans(data, WORD)
+        hashes.append(word_hashes(data, starts, stops))
         edges = np.cumsum([len(t) + 1 for t in group])
-        counts.append(np.diff(np.searchsorted(starts, edges), prepend=0))
+        n = np.diff(np.searchsorted(starts, edges), prepend=0)
+        n[0] += open_words
+        if ends[-1]:
+            counts.append(n)
+            open_words = 0
+        else:
+            open_words = n[0]
     return (np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)), np.cumsum(np.concatenate(counts))
 
 
