@@ -3,14 +3,16 @@
 One interpolated Kneser-Ney model per language over lower-cased letters, where every run of other
 characters is one boundary symbol. The models share sorted hash arrays: for each order, the union of the
 languages' n-grams with a row of log-probabilities, one per language, and the union of contexts with their
-back-off weights. A text gets the language of the lowest cross-entropy per symbol. Rejection is calibrated
-on training rows kept out of the counts: a text is rejected when its cross-entropy exceeds their mean by
-more than their upper tail plus ``SIGMAS`` standard errors for its length.
-
-The models are fitted on about ``TRAIN_ROWS`` labelled rows of every label, so their size grows with the
-number of labels but not with the rows; prediction reads every whole text. Null texts and texts without a
-letter are ``und`` with score 0 and count as rejected; without any labelled row every text is. Ties go to
-the first label in sorted order. Rows are judged one by one, so repeated rows and null ids change nothing.
+back-off weights. A text gets the language of the lowest cross-entropy per symbol.
+
+Rejection is calibrated on labelled rows that the models have not seen. A text's excess over its language's mean
+cross-entropy, divided by the spread that such an excess has at its length, is its strangeness; a text is rejected
+if it is stranger than all but the share ``FALSE_REJECTIONS`` of the calibration rows.
+
+The models are fitted on about ``TRAIN_ROWS`` labelled rows of every label and calibrated on ``CALIBRATION_ROWS`` more, of
+``TRAIN_BYTES`` of text at most, so their size grows with the number of labels but not with the rows; prediction reads every
+whole text, in blocks. Null texts and texts without a letter are ``und`` with score 0 and count as rejected; without any labelled
+row every text is. Ties go to the first label in sorted order. Rows are judged one by one, so repeated rows and null ids change nothing.
 """
 
 from __future__ import annotations
@@ -27,9 +29,15 @@ from .hashing import Sorted, mix
 
 ORDER = 4
 TRAIN_ROWS = 200
-SIGMAS = 8.0
-#: Nats per symbol above the mean that no text is rejected for.
-LEAST_TAIL = 1.6
+#: Labelled rows per label that only calibrate the rejection, and the share of them that it may reject.
+CALIBRATION_ROWS = 300
+FALSE_REJECTIONS = 0.005
+#: A label with fewer rows that the model has not seen rejects nothing.
+LEAST_HELD = 5
+#: Bytes of text that a label's rows together have at most, as expected; longer single texts are not drawn.
+TRAIN_BYTES = 4 << 20
+#: Symbols that are looked up at once.
+BLOCK = 1 << 17
 SYMBOLS = 1024
 UND = "und"
 SCORED = 20.0
@@ -88,13 +96,14 @@ class Counts:
 class Model:
     """The shared arrays of all languages."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], calibration: dict[str, list[str]] | None = None, false_rejections: float = FALSE_REJECTIONS):
         self.langs = sorted(texts)
+        known = lambda found: [s for s in map(symbols, found) if len(s) > 1]
         fit, held = {}, {}
         for lang in self.langs:
-            seqs = [s for s in (symbols(t) for t in texts[lang]) if len(s) > 1]
-            held[lang] = seqs[::5] if len(seqs) >= 10 else seqs
-            fit[lang] = [s for i, s in enumerate(seqs) if i % 5] if len(seqs) >= 10 else seqs
+            fit[lang], held[lang] = known(texts[lang]), known((calibration or {}).get(lang, []))
+            if not held[lang] and len(fit[lang]) >= 5 * LEAST_HELD:
+                held[lang], fit[lang] = fit[lang][::5], [s for i, s in enumerate(fit[lang]) if i % 5]
         counts = [Counts(fit[lang]) for lang in self.langs]
         n = len(self.langs)
         self.keys, self.logp, self.contexts, self.backoff = {}, {}, {}, {}
@@ -124,16 +133,34 @@ class Model:
             self.keys[k], self.logp[k] = Sorted(mix(raw)[order]), np.log(prob[order]).astype(np.float32)
             order = np.argsort(mix(ctx))
             self.contexts[k], self.backoff[k] = Sorted(mix(ctx)[order]), np.log(weight[order]).astype(np.float32)
-        self.mean, self.tail, self.spread = np.zeros(n), np.zeros(n), np.ones(n)
+        self.calibrate(held, false_rejections)
+
+    def calibrate(self, held: dict[str, list[np.ndarray]], false_rejections: float) -> None:
+        """Mean and spreads of the cross-entropy of each language's rows, and the strangeness that the given share of them exceeds."""
+        n = len(self.langs)
+        self.mean, self.spread, self.between, self.limit = np.zeros(n), np.ones(n), np.full(n, np.inf), np.inf
+        strange = []
         for j, lang in enumerate(self.langs):
-            if held[lang]:
-                each = [self.steps(s)[:, j] for s in held[lang]]
-                ce = np.array([-x.mean() for x in each])
-                size = np.array([len(x) for x in each])
-                self.mean[j] = np.average(ce, weights=size)
-                self.spread[j] = np.std(np.concatenate(each)) + 1e-3
-                long = ce[size >= np.median(size)] - self.mean[j]
-                self.tail[j] = max(LEAST_TAIL, 3 * float(np.quantile(long, 0.999)))
+            each = [self.steps(s)[:, j] for s in held[lang]]
+            if len(each) < LEAST_HELD:
+                continue
+            ce, size = np.array([-x.mean() for x in each]), np.array([len(x) for x in each])
+            long = size >= np.median(size)
+            self.mean[j] = np.median(ce[long])
+            self.spread[j] = np.std(np.concatenate(each)) + 1e-3
+            self.between[j] = np.median(np.abs(ce - self.mean[j])[long]) / 0.6745  # of documents, robustly
+            strange += [self.strangeness(c, k, j) for c, k in zip(ce, size)]
+        if strange:
+            strange, m = np.sort(strange), len(strange)
+            at = int(np.ceil((1 - false_rejections) * (m + 1))) - 1
+            self.limit = float(strange[min(at, m - 1)])
+            if at >= m:  # too few rows to hold that share: an exponential tail beyond them
+                top = strange[int(0.9 * m) :]
+                self.limit += float(top.mean() - top[0] + 1e-3) * np.log(1 / (false_rejections * m))
+
+    def strangeness(self, entropy: float, n: int, j: int) -> float:
+        """Excess of a cross-entropy over n symbols, in its standard deviations for texts of the language."""
+        return (entropy - self.mean[j]) / float(np.sqrt(self.spread[j] ** 2 / n + self.between[j] ** 2))
 
     def steps(self, seq: np.ndarray) -> np.ndarray:
         """Log-probability of each symbol after the first, per language."""
@@ -171,42 +198,51 @@ class Model:
             lang.append(self.langs[j])
             score.append(float(1.0 / share.sum()))
             entropy.append(float(ce[j]))
-            rejected.append(bool(ce[j] > self.mean[j] + self.tail[j] + SIGMAS * self.spread[j] / np.sqrt(n)))
+            rejected.append(bool(self.strangeness(ce[j], n, j) > self.limit))
         return lang, score, rejected, entropy
 
-    def _sums(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
-        """Summed log-probabilities per text; texts go through ``steps`` joined, in groups of bounded size."""
-        out, group, size = [], [], 0
+    def _sums(self, seqs: list[np.ndarray]) -> np.ndarray:
+        """Summed log-probabilities per text; blocks of texts, each with the symbols before it, go through ``steps`` joined."""
+        out = np.zeros((len(seqs), len(self.langs)))
+        group: list[tuple[int, np.ndarray, int]] = []
+        size = 0
 
         def flush() -> None:
             if not group:
                 return
-            joined = np.concatenate([x for s in group for x in (np.zeros(ORDER, np.uint32), s)] or [np.zeros(1, np.uint32)])
-            steps = np.concatenate([np.zeros((1, len(self.langs)), np.float32), self.steps(joined)])
-            at = 0
-            for s in group:
-                at += ORDER
-                out.append(steps[at + 1 : at + len(s)].sum(axis=0, dtype=np.float64))
-                at += len(s)
-
-        for s in seqs:
-            if size + len(s) > 1 << 20 and group:
-                flush()
-                group, size = [], 0
-            group.append(s)
-            size += len(s) + ORDER
+            steps = self.steps(np.concatenate([x for _, s, _ in group for x in (np.zeros(ORDER, np.uint32), s)]))
+            at = -1
+            for i, s, take in group:
+                at += ORDER + len(s)
+                out[i] += steps[at - take : at].sum(axis=0, dtype=np.float64)
+            group.clear()
+
+        for i, s in enumerate(seqs):
+            for a in range(1, len(s), BLOCK):
+                b = min(a + BLOCK, len(s))
+                if size + b - a > BLOCK:
+                    flush()
+                    size = 0
+                group.append((i, s[max(0, a - ORDER) : b], b - a))
+                size += b - a + 2 * ORDER
         flush()
         return out
 
 
-def train(rows: DataFrame, text: str = "text", lang: str = "lang", seed: str | None = "doc_id", per_lang: int = TRAIN_ROWS) -> Model:
-    """A model from about per_lang labelled rows of each label, drawn by a hash of the seed column."""
-    base = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), (F.col(seed) if seed else F.xxhash64(text)).alias("s")).where("t is not null and l is not null")
-    shares = base.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count("*")).alias("share"))
-    found: dict[str, list[str]] = {}
-    for r in base.join(F.broadcast(shares), "l").where(unit(F.col("s"), F.lit(71)) < F.col("share")).select("l", "t").collect():
-        found.setdefault(r.l, []).append(r.t)
-    return Model({k: sorted(v) for k, v in found.items()})
+def train(rows: DataFrame, text: str = "text", lang: str = "lang", seed: str | None = "doc_id", per_lang: int = TRAIN_ROWS, calibration: int = CALIBRATION_ROWS, false_rejections: float = FALSE_REJECTIONS) -> Model:
+    """A model from about per_lang + calibration labelled rows of each label, drawn by a hash of the seed column."""
+    drawn = unit(F.col(seed) if seed else F.xxhash64(text), F.lit(71))
+    base = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), drawn.alias("s"), F.octet_length(text).alias("b")).where("t is not null and l is not null").where(F.col("b") <= TRAIN_BYTES)
+    most = F.least(F.lit(1.0), F.lit(float(per_lang + calibration)) / F.count("*"), F.lit(float(TRAIN_BYTES)) / F.greatest(F.sum("b"), F.lit(1)))
+    fit: dict[str, list[str]] = {}
+    held: dict[str, list[str]] = {}
+    part = F.least(F.lit(0.8), F.lit(float(per_lang)) / F.count("*") / most) * most
+    shares = base.groupBy("l").agg(most.alias("share"), part.alias("part"))
+    for r in base.join(F.broadcast(shares), "l").where(F.col("s") < F.col("share")).select("l", "t", (F.col("s") < F.col("part")).alias("fit")).collect():
+        (fit if r.fit else held).setdefault(r.l, []).append(r.t)
+    for lang in held:  # a label whose few rows all came out for calibration
+        fit.setdefault(lang, held[lang])
+    return Model({k: sorted(v) for k, v in fit.items()}, {k: sorted(v) for k, v in held.items()}, false_rejections)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
