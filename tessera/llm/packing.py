@@ -1,17 +1,20 @@
 """Vector bin packing of examples into fixed-length sequences.
 
 A piece asks for a vector: tokens, segments (always 1) and loss-bearing tokens. A sequence has a limit on
-each. Full-length pieces of a long example fill sequences of their own; the rest are placed by the
-dot-product heuristic: the open sequence takes the piece whose vector, in units of the limits, has the
-largest dot product with what is left in the sequence, until none fits; then, where examples may be cut, a piece
-is cut to fill the rest.
+each. The open sequence takes the piece whose vector, in units of the limits, has the largest dot product with what is left
+in the sequence, until none fits; then, where examples may be cut, a piece is cut to fill the rest.
 
-Examples are packed where they lie: each partition works through blocks of at most ``BLOCK`` remainders, so
+Which tokens bear loss: a column of spans (half-open ranges of code points, as chat formatting gives them for assistant
+turns) says so; a token counts if it begins in a span, and the end mark counts if the text's last token does. Without the column a
+document is taken as an instruction, its first line, and a response, the rest: a first line of at most ``PROMPT`` characters with
+more text after it bears no loss, everything else does.
+
+Examples are packed where they lie: each partition works through blocks of at most ``BLOCK`` pieces, so
 memory is bounded, nothing is shuffled, and a lost executor costs one partition. Sequence ids hold the
 partition number in their upper bits.
 
 Null and empty texts are one token (the end mark). Rows are independent, so repeated rows and null ids are
-packed like any others. Columns other than id and text are not read.
+packed like any others. Columns other than id, text and spans are not read.
 """
 
 from __future__ import annotations
@@ -25,16 +28,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import short_batches
 
+#: Limits of a sequence: tokens, segments and loss-bearing tokens.
 LENGTH = 2048
-SEGMENTS = 64
+SEGMENTS = 12
+LOSS = 1920
 END = 1
+#: Characters that a first line may have to be an instruction.
+PROMPT = 2000
 BLOCK = 2048
 #: Tokens left in a sequence for which a piece is cut.
-LEAST_CUT = 16
-CACHE = 400_000
+LEAST_CUT = 8
+CACHE = 150_000
 #: What keeps a text from being cut at its white space: any but single spaces and line breaks.
 _MEET = ["  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if (chr(c).isspace() or re.match(r"\s", chr(c))) and c not in (0x0A, 0x20))]
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,16 +63,20 @@ def byte_of_symbol() -> dict[str, int]:
 
 
 def engine(path: str):
-    """A tiktoken encoding of a byte-level BPE file of ``tokenizers``: same ids, about five times as fast.
+    """An encoding with the ids of a byte-level BPE file, by a library that is about five times as fast as the file's own.
 
-    It needs ids in the order of the merges, which is checked, and the pattern of such files.
+    It needs ids in the order of the merges, which is checked, and the pattern of such files. Added tokens are
+    found in texts, as the file's own library does by default.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    byte = byte_of_symbol()
+        file = json.load(f)
+    model, byte = file["model"], byte_of_symbol()
+    added = {t["content"]: t["id"] for t in file.get("added_tokens", ())}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in file.get("added_tokens", ())):
+        raise ValueError("added tokens that take in what is around them are not supported")
     ranks = {}
     for token, i in model["vocab"].items():
         if all(c in byte for c in token):
@@ -74,7 +86,7 @@ def engine(path: str):
         raise ValueError("the ids of this file do not follow its merges")
     merged = set(made)
     ranks = {t: i for t, i in ranks.items() if len(t) == 1 or i in merged}
-    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 class Encoder:
@@ -90,13 +102,25 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.line = self.engine.encode_ordinary("\n")
+        self.added = sorted(self.engine.special_tokens_set)
+        self.size = np.zeros(self.engine.n_vocab, dtype=np.int32)  # bytes of each token
+        for i in range(self.engine.n_vocab):
+            try:
+                self.size[i] = len(self.engine.decode_single_token_bytes(i))
+            except KeyError:  # a hole in the ids
+                continue
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.engine.encode_ordinary(text), dtype="<u4").tobytes()
+        return np.asarray(self.engine.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+
+    def starts(self, ids: np.ndarray) -> np.ndarray:
+        """The byte at which each token begins."""
+        ends = np.cumsum(self.size[ids], dtype=np.int64)
+        return ends - self.size[ids]
 
     def _pieces(self, text: str) -> list[str] | None:
         """The text's pieces, each with the line break before it; None if that is not how it is built."""
-        if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _MEET):
+        if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _MEET) or any(x in text for x in self.added):
             return None
         return text.replace("\n", " \n").split(" ")
 
@@ -143,39 +167,64 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def place(need: np.ndarray, limit: np.ndarray, least_cut: int = 0, carry: bool = False) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Dot-product packing under limit of pieces, rows (tokens, first) where first is 1 if the piece starts its example.
-
-    A piece asks for its tokens, one segment, and its loss-bearing tokens: all but an example's first. Returns the
-    sequences, each a list of (row, from, to), and, if carry is set, the pieces of the last one apart. With
-    least_cut, when nothing fits and at least so many tokens are left, a piece is cut to fill them.
-    Ties go to the earlier row; without cuts every piece must fit alone.
+def bearing(encode: Encoder, text: str, ids: np.ndarray, spans: list | None) -> np.ndarray:
+    """How many of the first k ids bear loss, for each k up to all; ids end with the end mark."""
+    if spans is None:
+        line = text.find("\n") + 1
+        if not 0 < line <= PROMPT or line == len(text):
+            return np.arange(len(ids) + 1)
+        spans = [(line, len(text))]
+    begins = encode.starts(ids[:-1])
+    plain = text.isascii()
+    inside = np.zeros(len(ids), dtype=bool)
+    for a, b in spans:
+        x, y = (a, b) if plain else (len(text[:a].encode("utf-8", "replace")), len(text[:b].encode("utf-8", "replace")))
+        inside[np.searchsorted(begins, x) : np.searchsorted(begins, y)] = True
+    inside[-1] = len(ids) < 2 or inside[-2]
+    return np.append(0, np.cumsum(inside))
+
+
+def place(loss: list[np.ndarray], limit: np.ndarray, least_cut: int = 0, carry: bool = False) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Dot-product packing under limit (tokens, segments, loss-bearing tokens) of pieces.
+
+    loss has for each piece how many of its first k tokens bear loss, for k from 0 to its size. Returns the
+    sequences, each a list of (piece, from, to), and, if carry is set, what is left for later, the last sequence, apart. With
+    least_cut, when nothing fits and at least so many tokens can be taken, a piece is cut to fill the rest.
+    Ties go to the earlier piece; without cuts every piece must fit alone.
     """
-    size, start = need[:, 0].astype(np.int64), np.zeros(len(need), dtype=np.int64)
-    first = need[:, 1].astype(np.int64)
-    rows, done = np.arange(len(need)), []
+    start = np.zeros(len(loss), dtype=np.int64)
+    size = np.array([len(x) - 1 for x in loss], dtype=np.int64)
+    bears = np.array([x[-1] for x in loss], dtype=np.int64)
+    rows, done = np.arange(len(loss)), []
     own: list[tuple[int, int, int]] = []
     while len(rows):
-        left, own = limit.copy(), []
-        while len(rows):
-            loss = size[rows] - (first[rows] & (start[rows] == 0))
-            fits = (size[rows] <= left[0]) & (loss <= left[2]) & (left[1] >= 1)
+        left, own = limit.astype(np.int64), []
+        while len(rows) and left[1] >= 1:
+            fits = (size[rows] <= left[0]) & (bears[rows] <= left[2])
             if fits.any():
                 rest = left / limit
-                score = size[rows] * (rest[0] / limit[0]) + rest[1] / limit[1] + loss * (rest[2] / limit[2])
+                score = size[rows] * (rest[0] / limit[0]) + rest[1] / limit[1] + bears[rows] * (rest[2] / limit[2])
                 at = int(np.argmax(np.where(fits, score, -1.0)))
-                r, take = int(rows[at]), int(size[rows[at]])
-                left -= (take, 1, loss[at])
+                r = int(rows[at])
+                take = int(size[r])
                 rows = np.delete(rows, at)
             else:
-                take = int(min(left[0], left[2]))
-                if not least_cut or left[1] < 1 or take < least_cut:
-                    break
+                most = lambda r: min(left[0], int(np.searchsorted(loss[r], loss[r][start[r]] + left[2], side="right")) - 1 - start[r], size[r])
                 r = int(rows[-1])
-                left -= (take, 1, take - (first[r] & (start[r] == 0)))
+                take = int(most(r))
+                if take < left[0] and least_cut:  # the loss-bearing tokens bind: look for one that does not bear so much
+                    r = int(rows[np.argmin(bears[rows] / size[rows])])
+                    take = int(most(r))
+                if not least_cut or take < least_cut:
+                    break
             own.append((r, int(start[r]), int(start[r]) + take))
+            cost = loss[r][start[r] + take] - loss[r][start[r]]
+            left -= (take, 1, cost)
             start[r] += take
             size[r] -= take
+            bears[r] -= cost
+            if not size[r]:
+                rows = rows[rows != r]
         if not own:
             raise ValueError("a piece exceeds the limits by itself")
         done.append(own)
@@ -186,64 +235,63 @@ def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
     text: str = "text",
+    spans: str | None = None,
     vocabulary: str | None = None,
     length: int = LENGTH,
     segments: int = SEGMENTS,
-    loss: int | None = None,
+    loss: int = LOSS,
     least_cut: int = LEAST_CUT,
 ) -> DataFrame:
-    """One row per piece (SCHEMA). loss limits the loss-bearing tokens of a sequence; least_cut 0 keeps examples that fit whole."""
-    path, loss = vocabulary or default_vocabulary(), loss or length
+    """One row per piece (SCHEMA). loss limits the loss-bearing tokens of a sequence; least_cut 0 keeps examples that fit whole.
+
+    spans names a column of loss-bearing ranges, array<struct<start, end>>; a null or empty one bears none.
+    """
+    path = vocabulary or default_vocabulary()
     limit = np.array([length, segments, loss], dtype=float)
     cap = min(length, loss)
+    own_spans = docs[spans].cast("array<struct<start:bigint,end:bigint>>").alias("spans") if spans else F.lit(None).cast("int").alias("spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path), TaskContext.get().partitionId()
-        made, rest = 0, []  # pieces to place: id, place in the example, bytes, tokens of the example
+        made, rest = 0, []  # pieces to place: id, place in the example, bytes, tokens of the example, how much of them bears loss
         schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] if found else [[]] * 8, schema=schema)
 
-        def row(doc, at: int, piece: bytes, n: int, offset: int) -> tuple:
-            size = len(piece) // 4
-            return doc, at, size, zlib.crc32(piece), n, (part << 40) + made, offset, size - (at == 0)
-
         def flush(last: bool) -> list[tuple]:
             nonlocal made, rest
-            need = np.array([[len(p[2]) // 4, p[1] == 0] for p in rest], dtype=float).reshape(-1, 2)
-            bins, over = place(need, limit, least_cut, carry=not last)
+            bins, over = place([p[4] for p in rest], limit, least_cut, carry=not last)
             out = []
             for own in bins:
                 offset = 0
                 for i, a, b in own:
-                    doc, at, ids, n = rest[i]
-                    out.append(row(doc, at + a, ids[4 * a : 4 * b], n, offset))
+                    doc, at, ids, n, bears = rest[i]
+                    piece = ids[4 * a : 4 * b]
+                    out.append((doc, at + a, b - a, zlib.crc32(piece), n, (part << 40) + made, offset, int(bears[b] - bears[a])))
                     offset += b - a
                 made += 1
-            rest = [(rest[i][0], rest[i][1] + a, rest[i][2][4 * a : 4 * b], rest[i][3]) for i, a, b in over]
+            rest = [(rest[i][0], rest[i][1] + a, rest[i][2][4 * a : 4 * b], rest[i][3], rest[i][4][a : b + 1] - rest[i][4][a]) for i, a, b in over]
             return out
 
         for batch in batches:
             out = []
-            ids = encode(["" if t is None else t for t in batch.column(1).to_pylist()])
-            for doc, one in zip(batch.column(0).to_pylist(), ids):
+            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            given = [[(x["start"], x["end"]) for x in one or ()] for one in batch.column(2).to_pylist()] if spans else [None] * len(texts)
+            for doc, t, one, ranges in zip(batch.column(0).to_pylist(), texts, encode(texts), given):
                 one += END.to_bytes(4, "little")
+                bears = bearing(encode, t, np.frombuffer(one, dtype="<u4"), ranges)
                 n = len(one) // 4
                 for start in range(0, n, cap):
-                    piece = one[4 * start : 4 * (start + cap)]
-                    if len(piece) == 4 * length:
-                        out.append(row(doc, start, piece, n, 0))
-                        made += 1
-                    else:
-                        rest.append((doc, start, piece, n))
+                    end = min(start + cap, n)
+                    rest.append((doc, start, one[4 * start : 4 * end], n, bears[start : end + 1] - bears[start]))
                 if len(rest) >= BLOCK:
                     out += flush(False)
             yield rows(out)
         yield rows(flush(True))
 
     short_batches(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text].alias("text"), own_spans).mapInArrow(run, SCHEMA)
 
 
 def query(docs: DataFrame) -> DataFrame:
