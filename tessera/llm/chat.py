@@ -1,18 +1,24 @@
 """Chat formatting with typed content parts, in built-in expressions only.
 
-A turn's content is an array of parts (kind, text, ref, n): a visitor turns each part into output text -
-text parts are escaped, the others become numbered placeholders in order - and records the attachments with
-their expanded token counts. A turn reads ``<turn:ROLE>CONTENT</turn>``; escaping puts a backslash before
-backslash, ``<`` and ``>``, so no text can form a control string and the escape can be undone. The loss
-spans are half-open ranges of code points of the output: the content of assistant turns.
-
-A null text is empty, a null role is empty, null turns come first, ties are ordered by role and text, repeated
-rows stay, rows with a null id form one conversation. An empty table gives an empty result.
+A turn's content is a list of parts (kind, text, ref, n). A visitor flattens the parts of all turns into rows in their order: text
+parts are escaped, the others become numbered placeholders, and running sums over a conversation's parts give the
+numbers, the places in the output and the attachments with their references and expanded token counts. A turn
+reads ``<turn:ROLE>CONTENT</turn>``; escaping writes a backslash, ``<`` and ``>`` as a backslash and one of ``/()``, so no text holds a
+bracket, none can form a control string, and the escape can be undone. The loss spans are half-open ranges of code points of the
+output: the content of assistant turns, part by part.
+
+Texts without typed parts are parsed for them: ``![image](REF)``, ``![audio](REF n)`` and ``![document](REF n)`` are
+attachments of n units (1 unless given), all else is text. A placeholder carries no text; ``read_turns`` puts the
+attachment's mark-up back from the references, so turns are read back exactly.
+
+A null text is empty, a null role is empty, null turns come first, ties are ordered by role and content, repeated
+rows stay. Rows with a null id are conversations of one turn each. An empty table gives an empty result. A conversation is one
+row of the output, so its turns are gathered once, to be joined; everything before that is row by row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLOSE = "</turn>"
@@ -22,18 +28,46 @@ EXPANSION = {"image": 256, "audio": 25, "document": 768}
 PART = "struct<kind:string,text:string,ref:string,n:bigint>"
 
 
+#: Attachment marks in plain texts: kind, reference and, if there is one, the number of units.
+MARK = r"!\[(image|audio|document)\]\(([^()\s]+)(?: ([0-9]{1,9}))?\)"
+ESCAPES = (("\\", "\\/"), ("<", "\\("), (">", "\\)"))
+
+
 def escape(text: Column) -> Column:
-    for c in ("\\", "<", ">"):
-        text = F.replace(text, F.lit(c), F.lit("\\" + c))
+    for plain, written in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
     return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\<>])", "$1")
+    for plain, written in reversed(ESCAPES):
+        text = F.replace(text, F.lit(written), F.lit(plain))
+    return text
+
 
+def parse_parts(text: Column) -> Column:
+    """The typed parts of a text: its attachment marks, and the text between them (empty ones are left out, unless nothing else is there)."""
+    t = F.coalesce(text, F.lit(""))
+    between = F.split(t, MARK, -1)
+    marks = F.regexp_extract_all(t, F.lit(f"({MARK})"), F.lit(1))
 
-def text_part(text: Column) -> Column:
-    return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("n")))
+    def one(found: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            mark = F.get(found, i)
+            whole = F.struct(F.lit("text").alias("kind"), x.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("n"))
+            attached = F.struct(
+                F.regexp_extract(mark, MARK, 1).alias("kind"),
+                mark.alias("text"),
+                F.regexp_extract(mark, MARK, 2).alias("ref"),
+                F.nullif(F.regexp_extract(mark, MARK, 3), F.lit("")).cast("bigint").alias("n"),
+            )
+            return F.when(mark.isNull(), F.array(whole)).otherwise(F.array(whole, attached))
+
+        return F.filter(F.flatten(F.transform(between, pair)), lambda p: (p["text"] != "") | (F.size(between) == 1))
+
+    # only texts with a mark are taken apart
+    plain = F.array(F.struct(F.lit("text").alias("kind"), t.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("n")))
+    return F.when(F.contains(t, F.lit("![")), F.transform(F.array(marks), one)[0]).otherwise(plain)
 
 
 def _tokens(kind: Column, n: Column) -> Column:
@@ -43,82 +77,77 @@ def _tokens(kind: Column, n: Column) -> Column:
     return (F.coalesce(n, F.lit(1)) * each).cast("long")
 
 
-def visit(parts: Column, first: Column) -> Column:
-    """The visitor: (next, parts), each part with its output text and, for attachments, number and token count."""
-
-    def step(done: Column, p: Column) -> Column:
-        kind = F.coalesce(p["kind"], F.lit("text"))
-        placeholder = F.concat(F.lit("<"), escape(kind), F.lit(":"), done["next"].cast("string"), F.lit(">"))
-        made = F.struct(
-            F.when(kind == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder).alias("out"),
-            F.when(kind != "text", done["next"]).alias("number"),
-            kind.alias("kind"),
-            p["ref"].alias("ref"),
-            _tokens(kind, p["n"]).alias("tokens"),
-        )
-        return F.struct((done["next"] + F.when(kind == "text", 0).otherwise(1)).cast("long").alias("next"), F.concat(done["parts"], F.array(made)).alias("parts"))
-
-    empty = F.array().cast("array<struct<out:string,number:bigint,kind:string,ref:string,tokens:bigint>>")
-    return F.aggregate(parts, F.struct(first.alias("next"), empty.alias("parts")), step)
+def visit(rows: DataFrame) -> DataFrame:
+    """One row per part of the turns (c, conv_id, turn, role, parts), in the order of ``at`` within a conversation c: the part's
+    output, and number and token count of an attachment."""
+    order = Window.partitionBy("c").orderBy("turn", "role", "parts", "u", "i")
+    each = rows.select("*", F.posexplode_outer("parts").alias("i", "p"))
+    kind = F.coalesce(F.col("p.kind"), F.lit("text"))
+    attached = (kind != "text").cast("long")
+    seen = each.select("*", kind.alias("kind"), F.sum(attached).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.row_number().over(order).alias("at"))
+    number = F.coalesce("before", F.lit(0)).cast("long")
+    placeholder = F.concat(F.lit("<"), escape(F.col("kind")), F.lit(":"), number.cast("string"), F.lit(">"))
+    first, last = F.coalesce(F.col("i"), F.lit(0)) == 0, F.coalesce(F.col("i"), F.lit(0)) >= F.size("parts") - 1
+    return seen.select(
+        "c",
+        "conv_id",
+        "at",
+        "role",
+        first.alias("opens"),
+        last.alias("closes"),
+        F.when(first, F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(">"))).otherwise("").alias("head"),
+        F.when(F.col("kind") == "text", escape(F.coalesce("p.text", F.lit("")))).otherwise(placeholder).alias("body"),
+        F.when(last, F.lit(CLOSE)).otherwise("").alias("tail"),
+        F.when(F.col("kind") != "text", F.struct(number.alias("number"), "kind", F.col("p.ref").alias("ref"), F.col("p.text").alias("text"), _tokens(F.col("kind"), F.col("p.n")).alias("tokens"))).alias("attachment"),
+    )
 
 
 def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans, attachments, expanded_tokens."""
-    content = text_part(F.coalesce(F.col(text), F.lit(""))) if parts is None else F.coalesce(F.col(parts).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
-    turns = rows.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), content.alias("parts")).alias("t"),
-    )
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def turn_step(done: Column, t: Column) -> Column:
-        visited = visit(t["parts"], done["next"])
-        head = F.concat(F.lit(OPEN), escape(t["role"]), F.lit(">"))
-        start = done["at"] + F.length(head)
-        body = F.array_join(F.transform(visited["parts"], lambda p: p["out"]), "")
-        end = start + F.length(body)
-        found = F.filter(visited["parts"], lambda p: p["number"].isNotNull())
-        return F.struct(
-            visited["next"].alias("next"),
-            (end + len(CLOSE)).cast("long").alias("at"),
-            F.concat(done["out"], F.array(F.concat(head, body, F.lit(CLOSE)))).alias("out"),
-            F.when(t["role"] == "assistant", F.concat(done["spans"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))))).otherwise(done["spans"]).alias("spans"),
-            F.concat(done["found"], F.transform(found, lambda p: F.struct(p["number"].alias("number"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))).alias("found"),
-        )
-
-    start = F.struct(
-        F.lit(0).cast("long").alias("next"),
-        F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<string>").alias("out"),
-        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
-        F.array().cast("array<struct<number:bigint,kind:string,ref:string,tokens:bigint>>").alias("found"),
-    )
-    done = whole.select("conv_id", F.aggregate("turns", start, turn_step).alias("d"))
+    content = parse_parts(F.col(text)) if parts is None else F.coalesce(F.col(parts).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
+    u = F.monotonically_increasing_id()
+    turns = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), content.alias("parts"), u.alias("u"))
+    visited = visit(turns.withColumn("c", F.struct("conv_id", F.when(F.col("conv_id").isNull(), F.col("u")))))
+    so_far = Window.partitionBy("c").orderBy("at")
+    whole = F.length("head") + F.length("body") + F.length("tail")
+    placed = visited.withColumn("end", F.sum(whole.cast("long")).over(so_far) - F.length("tail"))
+    span = F.struct((F.col("end") - F.length("body")).alias("start"), F.col("end").alias("end"), "opens")
+    each = F.struct("at", F.concat("head", "body", "tail").alias("out"), F.when(F.col("role") == "assistant", span).alias("span"), "attachment")
+    done = placed.groupBy("c").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(each)).alias("x"), F.coalesce(F.sum("attachment.tokens"), F.lit(0)).alias("expanded_tokens"))
+    spans = F.filter(F.transform("x", lambda x: x["span"]), lambda s: s.isNotNull())
     return done.select(
         "conv_id",
-        F.array_join("d.out", "").alias("formatted"),
-        F.col("d.spans").alias("loss_spans"),
-        F.col("d.found").alias("attachments"),
-        F.aggregate("d.found", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"),
+        F.array_join(F.transform("x", lambda x: x["out"]), "").alias("formatted"),
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss_spans"),
+        F.filter(F.transform("x", lambda x: x["attachment"]), lambda a: a.isNotNull()).alias("attachments"),
+        "expanded_tokens",
     )
 
 
-def read_turns(formatted: Column) -> Column:
-    """The inverse of the template: array of (role, text); attachments stay as placeholders."""
-    whole = F.slice(F.split(formatted, CLOSE), 1, F.greatest(F.size(F.split(formatted, CLOSE)) - 1, F.lit(0)))
+def _content(content: Column, attachments: Column | None) -> Column:
+    """Unescaped content, placeholders replaced by the texts of their attachments; without these they stay."""
+    if attachments is None:
+        return unescape(content)
+    between = F.transform(F.split(content, "<[^>]*>", -1), unescape)
+    numbers = F.regexp_extract_all(content, F.lit("<[^:>]*:([0-9]+)>"), F.lit(1))
+    marked = F.transform(F.array(numbers), lambda found: F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(attachments, F.get(found, i).cast("int"))["text"], F.lit("")))), ""))[0]
+    return F.when(F.contains(content, F.lit("<")), marked).otherwise(unescape(content))
+
+
+def read_turns(formatted: Column, attachments: Column | None = None) -> Column:
+    """The inverse of the template: array of (role, text)."""
+    turns = F.split(formatted, CLOSE, -1)
 
     def one(x: Column) -> Column:
-        role = F.regexp_extract(x, rf"^{OPEN}((?:[^\\>]|\\.)*)>", 1)
-        return F.struct(
-            unescape(role).alias("role"), unescape(F.substring(x, F.length(role) + F.lit(len(OPEN) + 2), F.length(x))).alias("text")
-        )
+        end = F.instr(x, F.lit(">"))
+        return F.struct(unescape(F.substring(x, F.lit(len(OPEN) + 1), end - len(OPEN) - 1)).alias("role"), _content(F.substring(x, end + 1, F.length(x)), attachments).alias("text"))
 
-    return F.transform(whole, one)
+    return F.transform(F.filter(turns, lambda x: x != ""), one)
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
+def read_loss(formatted: Column, spans: Column, attachments: Column | None = None) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    return F.array_join(F.transform(spans, lambda s: _content(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), attachments)), "")
 
 
 #: The conversation that op5 adds, a user and an assistant turn: a text that looks like control strings.
@@ -131,7 +160,8 @@ def query(conversations: DataFrame) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
     planted = rows.sparkSession.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(PLANTED).alias("text"))
     done = format_chat(rows.unionByName(planted))
-    back = done.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    out, found = F.col("formatted"), F.col("attachments")
+    back = done.select("conv_id", "formatted", "attachments", "expanded_tokens", read_turns(out, found).alias("turns"), read_loss(out, F.col("loss_spans"), found).alias("loss"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -140,19 +170,29 @@ def query(conversations: DataFrame) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        F.array_join(F.transform("attachments", lambda a: a["ref"]), " ").alias("references"),
+        "expanded_tokens",
     )
 
 
 SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM documents_of_chat),
-e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '<', '\<'), '>', '\>') AS et, replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>') AS er FROM c)
+WITH c AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM all_turns),
+m AS (SELECT *, CASE WHEN conv_id IS NULL THEN rid END AS own, regexp_extract_all(text, 'MARK', 1) AS kinds, regexp_extract_all(text, 'MARK', 2) AS refs, regexp_extract_all(text, 'MARK', 3) AS ns FROM c),
+b AS (SELECT *, coalesce(sum(len(kinds)) OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
+e AS (SELECT *, replace(replace(replace(regexp_replace(text, 'MARK', '', 'g'), '\', '\/'), '<', '\('), '>', '\)') AS et, replace(replace(replace(role, '\', '\/'), '<', '\('), '>', '\)') AS er,
+             coalesce(list_sum(list_transform(kinds, lambda k, i: 3 + length(k) + length(CAST(CAST(before AS BIGINT) + i - 1 AS VARCHAR)))), 0) AS placeholders,
+             coalesce(list_sum(list_transform(kinds, lambda k, i: coalesce(TRY_CAST(ns[i] AS BIGINT), 1) * CASE k WHEN 'image' THEN 256 WHEN 'audio' THEN 25 ELSE 768 END)), 0) AS tokens FROM b)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length(er) + length(et) + 14) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
-""".replace(
-    "documents_of_chat",
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(er) + length(et) + placeholders + 14) AS BIGINT) AS formatted_chars,
+       CAST(sum(len(kinds)) AS BIGINT) AS n_attachments,
+       coalesce(string_agg(array_to_string(refs, ' '), ' ' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE len(refs) > 0), '') AS "references",
+       CAST(sum(tokens) AS BIGINT) AS expanded_tokens
+FROM e GROUP BY conv_id, own
+""".replace("MARK", MARK).replace(
+    "all_turns",
     r"(SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))",
 )
