@@ -33,14 +33,35 @@ def test_shards_are_near_equal(spark, hot):
 
 
 def test_range_of_is_a_search(spark):
-    splitters = sorted({(x * 7919 % 1000 - 500, x % 5) for x in range(300)})
-    rows = [(h, d) for h in range(-510, 510, 3) for d in range(-1, 6)]
-    df = spark.createDataFrame(rows, "h long, d long").select("h", "d", S.range_of(splitters).alias("r"))
+    splitters = sorted({(x * 7919 % 1000 - 500, x % 5, x % 3) for x in range(300)})
+    rows = [(h, d, u) for h in range(-510, 510, 5) for d in range(-1, 6) for u in range(-1, 4)]
+    df = spark.createDataFrame(rows, "h long, d long, u long").select("h", "d", "u", S.range_of(splitters).alias("r"))
     for r in df.collect():
-        assert r.r == sum(s <= (r.h, r.d) for s in splitters)
+        assert r.r == sum(s <= (r.h, r.d, r.u) for s in splitters)
     assert df.select(S.range_of([]).alias("r")).where("r <> 0").count() == 0
 
 
+@pytest.mark.parametrize("ident", [None, 7])
+def test_rows_that_are_all_alike_are_spread(spark, ident):
+    texts = [(ident, "the same text " * 20)] * 3000 + [(i, f"text {i} " * (1 + i % 37)) for i in range(1000)]
+    rows = S.query(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    sizes = [sum(r.size for r in by[s]) for s in range(8)]
+    assert len(rows) == 4000 and max(abs(x - sum(sizes) / 8) for x in sizes) < 0.02 * sum(sizes) / 8
+    assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in by.values())
+
+
+def test_few_huge_rows(spark):
+    """Ranges that one row fills are left, all others are divided."""
+    texts = [(i, "x" * (200000 if i < 5 else 10)) for i in range(500)]
+    rows = S.keyed(spark.createDataFrame(texts, "doc_id long, text string")).cache()
+    splitters, by = S.ranges_of(rows, 16, 64)
+    share = sum(b for b, _, _ in by.values()) / 16
+    assert all(n == 1 or b <= max(S.OVERFULL * share, 2 * most) for b, n, most in by.values()) and sum(n for _, n, _ in by.values()) == 500
+
+
 def test_edges(spark):
     docs = edge.documents(spark)
     rows = S.query(docs).collect()
