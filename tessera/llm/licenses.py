@@ -2,8 +2,10 @@
 parser reads the license expressions behind the tags.
 
 A text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters; phrases match whole
-consecutive words. An expression is what follows ``SPDX-License-Identifier:`` on its line; AND binds closer than
-OR, WITH closer than AND. Expressions that do not parse are ignored; their tag still counts.
+consecutive words. An expression is the longest valid one that follows ``SPDX-License-Identifier:`` on its line, up to the end of a
+comment; AND binds closer than OR, WITH closer than AND. Where nothing valid follows, the tag still counts. Each expression is evaluated:
+it is permitted if a choice among its alternatives needs licences of the ``PERMISSIVE`` families only; the text's verdict is whether all
+its expressions are, null without any.
 
 Null texts are empty: no words, no places, empty labels, score 0. Rows are scanned one by one and whole, so
 repeated rows and null ids change nothing.
@@ -42,6 +44,8 @@ NOTICES = ("licensed under", "released under", "distributed under", "under the t
 TAG = "spdx license identifier"
 #: Prefix of an identifier -> label; the first that fits.
 FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("0bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("isc", "isc"), ("bsl", "bsl"), ("cc", "cc"))
+#: Families that an evaluated expression may need.
+PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "bsl", "cc"})
 WEIGHTS = {"tag": 0.95, "notice": 0.85, "phrase": 0.6}
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -50,37 +54,37 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 
 
 def parse(expression: str) -> list[str] | None:
-    """The expression in postfix order (operators in lower case), or None if it is not one."""
-    out, stack, operand = [], [], True
+    """The longest valid expression at the start, in postfix order (operators in lower case), or None if there is none."""
+    out, stack, operand, best = [], [], True, None
     for token in _TOKEN.findall(expression):
         low = token.lower()
         if token == "(":
             if not operand:
-                return None
+                break
             stack.append(token)
         elif token == ")":
             if operand:
-                return None
+                break
             while stack and stack[-1] != "(":
                 out.append(stack.pop())
             if not stack:
-                return None
+                break
             stack.pop()
         elif low in _RANK:
             if operand:
-                return None
+                break
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = True
         else:
             if not operand:
-                return None
+                break
             out.append(token)
             operand = False
-    if operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        if not operand and "(" not in stack:
+            best = out + stack[::-1]
+    return best
 
 
 def evaluate(postfix: list[str], allowed) -> bool:
@@ -128,8 +132,8 @@ def automaton():
     return found
 
 
-def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float, list[str]]:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions of one text."""
+def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float, list[str], bool | None]:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permitted of one text."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.translate(_LOWER).split()
     joined = " " + b" ".join(words).decode("latin-1") + " "
@@ -150,12 +154,13 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
                 last_notice += 1
             near = bool(notices) and 0 <= start - notices[last_notice] <= 80
             doubts *= 1 - WEIGHTS["notice" if near else "phrase"]
-    expressions = []
+    expressions, permitted = [], None
     if tagged:
         doubts *= 1 - WEIGHTS["tag"]
         for m in re.finditer(rb"(?i)spdx-license-identifier:([^\n]*)", raw):
-            postfix = parse(m[1].decode("utf-8", "replace").strip(" \t\r*/#-<>!;"))
+            postfix = parse(re.split(r"\*/|-->", m[1].decode("utf-8", "replace"), maxsplit=1)[0])
             if postfix:
+                permitted = evaluate(postfix, lambda x: family(x) in PERMISSIVE) and permitted is not False
                 expressions.append(" ".join(postfix))
                 labels.update(filter(None, map(family, identifiers(postfix))))
     return (
@@ -167,6 +172,7 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
         ",".join(sorted(labels)),
         0.0 if doubts == 1.0 else 1.0 - doubts,
         expressions,
+        permitted,
     )
 
 
@@ -179,6 +185,7 @@ COLUMNS = (
     ("labels", pa.string(), "string"),
     ("score", pa.float64(), "double"),
     ("expressions", pa.list_(pa.string()), "array<string>"),
+    ("permitted", pa.bool_(), "boolean"),
 )
 
 
@@ -197,4 +204,4 @@ def licenses(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return licenses(docs.select("doc_id", "text")).select("row.doc_id", *[n for n, _, _ in COLUMNS[:-1]], F.array_join("expressions", "; ").alias("expressions"))
+    return licenses(docs.select("doc_id", "text")).select("row.doc_id", *[n for n, _, _ in COLUMNS[:-2]], F.array_join("expressions", "; ").alias("expressions"), "permitted")
