@@ -50,3 +50,27 @@ def test_edges(spark):
     want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)] + [(i, 0, i, True) for i in range(3, 10)] + [(10, 2, 1, False), (11, 0, 11, True)] + [(None, 0, None, False)] * 2
     assert got == want
     assert D.query(df.limit(0)).count() == 0
+
+
+def test_parameters_follow_the_number_of_vectors():
+    """Chance meetings per vector stay bounded and pairs at the threshold keep their chance, while tables grow slowly."""
+    near, far = D.collision(np.sqrt(0.2)), D.collision(np.sqrt(2))
+    before = 0
+    for n in (1, 100, 10_000, 1_000_000, 10**9, 10**12):
+        tables, k = D.parameters(n)
+        assert n * tables * far**k <= D.CHANCE and 1 - (1 - near**k) ** tables >= D.RECALL and tables >= before
+        assert tables <= 40 * max(n, 10) ** 0.3
+        before = tables
+    rng = np.random.default_rng(0)
+    for distance, p in ((np.sqrt(0.2), near), (np.sqrt(2), far)):
+        x, shift = rng.standard_normal(200_000) * distance, rng.uniform(0, 1, 200_000)
+        assert abs(np.mean(np.floor(x / D.WIDTH + shift) == np.floor(shift)) - p) < 0.01
+
+
+def test_copies_are_counted(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((2, 16))
+    rows = [a] * 200 + [a + 0.01 * b] * 100 + [b] * 3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in D.query(df).collect()}
+    assert all(got[i] == (299, 0) for i in range(300)) and all(got[i] == (2, 300) for i in range(300, 303))
