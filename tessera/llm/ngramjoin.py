@@ -15,7 +15,9 @@ Groups of copies are not expanded into pairs: equal sets are one node; each node
 the smallest node of its prefix tokens with which it shares most, and components of these links are formed; then
 only nodes of different components are candidates. Where more than ``CROWD`` nodes of several components meet in one token and
 size class, they are compared under the third order instead, whose first tokens are the rare ones that tell near copies
-apart. Links between different sets that would not join components are the only ones not looked at.
+apart. Crowds too are first verified against leaders, the nodes with the fewest tokens of their own, in ``ROUNDS`` rounds, and
+then only nodes outside a crowd's largest component against the others. Links between different sets that would not join
+components are the only ones not looked at.
 
 Shingles are 64-bit hashes, sets are told apart by 64 bits of hashes of them. Documents without words have an empty set and link
 with nothing, as do null ids; rows that repeat an id are one document, each row's set counts as an alternative. Whole texts are read.
@@ -42,6 +44,8 @@ HOT = 1 << 18
 HOT_DOCS = 32
 #: More nodes than that at one token and size class are compared under their own order.
 CROWD = 64
+#: Rounds in which the nodes of a crowd are verified against leaders.
+ROUNDS = 3
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
@@ -206,7 +210,7 @@ def overlap(x: Column, y: Column, num: int, den: int) -> Column:
 
 
 def shown(tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """(t, b, g, size, pos, c, own): the tokens (t, g, size, pos, c) that a set shows to sets of size class b.
+    """(b, own) added to the tokens (t, g, size, pos, c) that a set shows to sets of size class b.
 
     To the classes of sets of its own size or smaller, so many of its first tokens that the first shared one is among
     them; own marks those that it shows to sets of its size or larger.
@@ -218,35 +222,51 @@ def shown(tokens: DataFrame, num: int, den: int) -> DataFrame:
     each = tokens.withColumn("b", F.explode(F.sequence(bucket(lowest), bucket(size))))
     smallest = F.greatest(lowest, F.floor(F.exp(F.col("b") * step)))
     own = (F.col("b") == bucket(size)) & (pos <= size - overlap(size, size, num, den))
-    return each.where(pos <= size - overlap(F.least(smallest, size), size, num, den)).select("t", "b", "g", "size", "pos", "c", own.alias("own"))
+    return each.where(pos <= size - overlap(F.least(smallest, size), size, num, den)).withColumn("own", own)
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """The rows of ``shown`` whose token and size class hold several components, with the number of their nodes."""
-    groups = rows.groupBy("t", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.max("own").alias("any"))
-    return rows.join(apart(groups.where("lo < hi and any").select("t", "b", "n")), ["t", "b"])
+    """The rows of ``shown`` whose token and size class hold several components, with the number n of their nodes and their largest component, home."""
+    each = rows.groupBy("t", "b", "c").agg(F.count("*").alias("n"), F.max("own").alias("any"))
+    groups = each.groupBy("t", "b").agg(F.sum("n").alias("n"), F.max("any").alias("any"), F.max_by("c", F.struct("n", "c")).alias("home"), F.count("*").alias("k"))
+    return rows.join(apart(groups.where("k > 1 and any").select("t", "b", "n", "home")), ["t", "b"])
 
 
 def met(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of rows of ``shown``: of different components, the shorter set's own tokens against the longer's."""
-    x = rows.where("own").select("t", "b", F.col("g").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
-    y = rows.select("t", "b", F.col("g").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
+    """Candidate pairs (a, b) of rows of ``mixed``: of different components, the shorter set's own tokens against the longer's.
+
+    The largest component of a token and size class is only joined with the nodes outside it.
+    """
+    x = rows.where("own").select("t", "b", F.col("g").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"), (F.col("c") == F.col("home")).alias("hx"))
+    y = rows.select("t", "b", F.col("g").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"), (F.col("c") == F.col("home")).alias("hy"))
     rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     fits = f"cx <> cy and (nx < ny or nx = ny and x < y) and {den} * nx >= {num} * ny"
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("t", "b")]
-    pairs = x.alias("l").join(y.alias("r"), [*same, F.expr(fits), rest >= overlap(F.col("nx"), F.col("ny"), num, den)])
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pair = lambda l, r: l.alias("l").join(r.alias("r"), [*same, F.expr(fits), rest >= overlap(F.col("nx"), F.col("ny"), num, den)]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pair(x.where("not hx"), y).unionByName(pair(x.where("hx"), y.where("not hy"))).distinct()
+
+
+def leaders(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) that may join components of rows of ``mixed`` with the column alone: each node outside its crowd's largest
+    component, with the node of that component and the one of the others that have the fewest tokens of their own."""
+    who = F.struct("alone", "g", "size", "pos", "c")
+    first = rows.groupBy("t", "b").agg(F.min(F.when(F.col("c") == F.col("home"), who)).alias("x"), F.min(F.when(F.col("c") != F.col("home"), who)).alias("y"))
+    near = rows.where("c <> home").join(apart(first), ["t", "b"]).select("g", "size", "pos", "c", F.explode(F.array("x", "y")).alias("x"))
+    rest = F.least(F.col("size") - F.col("pos"), F.col("x.size") - F.col("x.pos"))
+    fits = f"c <> x.c and {den} * least(size, x.size) >= {num} * greatest(size, x.size)"
+    return near.where(F.expr(fits) & (rest >= overlap(F.col("size"), F.col("x.size"), num, den))).select(F.least("g", "x.g").alias("a"), F.greatest("g", "x.g").alias("b")).distinct()
 
 
 def by_rarity(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(t, g, size, pos): the prefix tokens of sets under the order of their frequency among these sets; tokens that stand in one set only are left out."""
+    """(t, g, size, pos, alone): the prefix tokens of sets under the order of their frequency among these sets; those that stand in one set
+    only come first and are but counted, in alone."""
     each = sets.select("g", F.size("s").alias("size"), F.explode("s").alias("t"))
     often = each.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
     ranked = each.join(apart(often), "t").groupBy("g", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("a"))
     alone = F.col("size") - F.size("a")
     prefix = F.col("size") - F.floor((num * F.col("size") + den - 1) / den) + 1
     first = ranked.where(alone < prefix).select("g", "size", alone.alias("alone"), F.posexplode(F.slice("a", F.lit(1), (prefix - alone).cast("int"))).alias("i", "x"))
-    return first.select(F.col("x.t").alias("t"), "g", "size", (F.col("alone") + F.col("i")).alias("pos"))
+    return first.select(F.col("x.t").alias("t"), "g", "size", (F.col("alone") + F.col("i")).alias("pos"), "alone")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -274,15 +294,32 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
     led = shared.join(apart(lead), "t").where((F.col("g") != F.col("lead")) & fits(F.col("size"), F.col("lsize")))
     votes = led.groupBy("g", "size", "lead", "lsize").agg(F.count("*").alias("c")).where(enough(F.col("c"), F.col("size"), F.col("lsize"), num, den))
     links = linked(cut(votes.groupBy("g").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("a")).select("a", F.col("g").alias("b"))))
-    now = components(links).select(F.col("id").alias("g"), F.col("component_id").alias("c"))
-    placed = lambda rows: rows.join(apart(now), "g", "left").withColumn("c", F.coalesce("c", "g"))
 
-    several = cut(mixed(shown(placed(shared), num, den)))
+    def placed(rows: DataFrame) -> DataFrame:
+        now = components(links).select(F.col("id").alias("g"), F.col("component_id").alias("c"))
+        return cut(mixed(shown(rows.join(apart(now), "g", "left").withColumn("c", F.coalesce("c", "g")), num, den)))
+
+    several = placed(shared)
     drop(shared)
-    crowds = sets_of(docs, idx, several.where(F.col("n") > CROWD).select("g").distinct(), n)
-    near = met(several.where(F.col("n") <= CROWD), num, den).unionByName(met(cut(mixed(shown(placed(by_rarity(crowds, num, den)), num, den))), num, den))
-    more = linked(cut(near.distinct()))
-    drop(several, crowds)
+    near = met(several.where(F.col("n") <= CROWD), num, den)
+    crowds = several.where(F.col("n") > CROWD).select("g").distinct()
+    if not crowds.isEmpty():
+        sets = sets_of(docs, idx, crowds, n)
+        ranked = cut(by_rarity(sets, num, den))
+        crowded = placed(ranked)
+        for _ in range(ROUNDS):
+            found = linked(cut(leaders(crowded, num, den)))
+            if found.isEmpty():
+                break
+            links = links.unionByName(found)
+            drop(crowded)
+            crowded = placed(ranked)
+        near = cut(near.unionByName(met(crowded, num, den)).distinct())
+        drop(sets, ranked, crowded)
+    else:
+        near = cut(near)
+    drop(several)
+    more = linked(near)
 
     several = known.groupBy("id").agg(F.min("g").alias("a"), F.max("g").alias("z")).where("a < z")  # an id's sets are one document
     same = known.join(apart(several.select("id", "a")), "id").select("a", F.col("g").alias("b")).where("a <> b")

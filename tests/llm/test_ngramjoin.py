@@ -69,7 +69,8 @@ def test_pairs_of_a_crowd_are_not_listed(spark):
         docs.append((i, " ".join(w)))
     sets_ = spark.createDataFrame([(i, [hash(x) for x in sets(t, 3)]) for i, t in docs], "g long, s array<long>")
     tokens = J.by_rarity(sets_, 90, 100).selectExpr("*", "g as c")
-    assert J.met(J.mixed(J.shown(tokens, 90, 100)), 90, 100).count() < 300
+    rows = J.mixed(J.shown(tokens, 90, 100))
+    assert J.met(rows, 90, 100).count() < 300
     assert found(spark, docs, 3, 90) == brute(docs, 3, 90, 100)
 
 
