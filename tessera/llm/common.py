@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: Rows a Python worker gets at once; texts may be long, so batches are short.
 ARROW_ROWS = 256
-#: Size of the bit sets that are broadcast (1 MB).
-FILTER_BITS = 1 << 23
+#: Bits of a broadcast bit set for each key, and in all at most (8 MB).
+BITS_A_KEY = 16
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,22 +63,27 @@ def _file(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def bit_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A set of the long column key as bits of fixed size, to be broadcast: what it does not hold is not in keys.
+def bit_filter(keys: DataFrame, key: str, bits: int | None = None) -> np.ndarray | None:
+    """The long column key as a set of bits, to be broadcast: what it does not hold is not in keys. keys is read twice, so pass it written.
 
-    It only spares work: whatever passes is checked by a join or is harmless. With far more keys than bits it lets
-    everything through.
+    It has at least BITS_A_KEY bits a key. Where that exceeds bits (FILTER_BITS) there is none, and callers join instead.
+    It only spares work: whatever passes is checked by a join or is harmless.
     """
-    slot = F.col(key).bitwiseAND(F.lit(bits - 1))
+    need = max(1 << 16, 1 << (BITS_A_KEY * keys.count() - 1).bit_length())
+    if need > (bits or FILTER_BITS):
+        return None
+    slot = F.col(key).bitwiseAND(F.lit(need - 1))
     rows = keys.select((F.shiftright(slot, 6)).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))").alias("m"))
-    out = np.zeros(bits // 64, dtype=np.int64)
-    for r in rows.groupBy("w").agg(F.bit_or("m").alias("m")).collect():
-        out[r.w] = r.m
+    out = np.zeros(need // 64, dtype=np.int64)
+    found = rows.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out
 
 
-def may_hold(filter_bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key may be in the set."""
+def may_hold(filter_bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the set; without a set, all may."""
+    if filter_bits is None:
+        return np.ones(len(keys), dtype=bool)
     slot = keys.view(np.int64) & (64 * len(filter_bits) - 1)
     return (filter_bits[slot >> 6] >> (slot & 63) & 1).astype(bool)
 

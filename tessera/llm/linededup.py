@@ -1,21 +1,21 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines (cut at line breaks) are compared as sequences of words, lower-cased in A-Z. A line of at least
-``LEAST`` words, that is any line with a word, is removed if an earlier line, in the order of (id, line number), is
-equal or, for lines of at least ``NEAR`` words, within one word edit (insertion, deletion, substitution). Lines without
+Lines (cut at line breaks) are compared as sequences of words, lower-cased in A-Z. A line with a word is removed if an earlier
+line, in the order of (id, line number), is equal, or if both have at least ``NEAR`` words and are within one word edit
+(insertion, deletion, substitution): one edit is then a fifth of a line at most, a similarity of 0.8 or more. Lines without
 words always stay. Words are cut at white space, so a line of a text without spaces is one word: it goes if it is repeated exactly.
 
 The deletion neighbourhood of a line is the line itself and the line without each of its words. Two lines
 are within one edit exactly if they share a variant that either is one of the lines itself or lacks the word at the same
-place of both; the join on the variants' hashes keeps the place, so the distance is verified from the
-deletion places. Nothing is paired: in each group of equal variants the earliest line wins by a minimum
-that is combined before the shuffle.
+place of both; the join on the variants' hashes keeps the place. Nothing is paired within a group of equal variants: each line
+meets the earliest one there, by a minimum that is combined before the shuffle, and the edit distance of the two is then verified on their
+words.
 
 Variants are only made for lines that can have a partner. If two lines differ by one edit, they share their
 first or their last k words, k being the largest power of two with 2k at most the shorter length; so a line
 goes on only if another, different line has the same first or last words, and a variant only if another line has it.
-Both tests are exact aggregations; bit sets of fixed size carry their results back to the texts, and what
-passes them by chance changes nothing.
+Both tests are exact aggregations; bit sets, as large as the keys need, carry their results back to the texts, and what
+passes them by chance changes nothing. Where the keys are too many for a broadcast, joins do it.
 
 Line hashes have 96 bits. Null texts have no lines and stay null; empty tables give empty results; rows with a
 null id are compared with each other and the rest, and come first; rows that agree in id and text are one
@@ -31,23 +31,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, bit_filter, cut, may_hold, short_batches
+from .common import apart, bit_filter, cut, drop, may_hold, short_batches
 from .hashing import mix, text_words
 
 LEAST = 1
-NEAR = 8
+NEAR = 5
 #: Lines that a task remembers having met.
-MET = 1 << 20
+MET = 1 << 17
 
 
-def _line_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all lines, where each line's words begin, and each line's text and number in it."""
+def _line_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Word hashes of all lines, where each line's words begin, each line's text and number in it, and the lines."""
     lines = [(t or "").encode("utf-8", "replace").lower().split(b"\n") for t in texts]
-    hashes, edge = text_words([x for one in lines for x in one])
+    flat = [x for one in lines for x in one]
+    hashes, edge = text_words(flat)
     sizes = [len(x) for x in lines]
     owner = np.repeat(np.arange(len(lines)), sizes)
     number = np.concatenate([np.arange(x) for x in sizes]) if sizes else owner
-    return hashes, edge, owner, number
+    return hashes, edge, owner, number, flat
 
 
 class Ranges:
@@ -116,7 +117,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, edge, owner, number = _line_words(b.column(2).to_pylist())
+            words, edge, owner, number, _ = _line_words(b.column(2).to_pylist())
             kept = np.flatnonzero(np.diff(edge) >= LEAST)
             x, y = edge[kept], edge[kept + 1]
             one, two = (Ranges(words, step) for step in STEPS)
@@ -139,27 +140,37 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("id", "key", "text").mapInArrow(run, "doc long, key int, line int, h1 long, h2 int, cores array<long>")
 
 
-def variants(docs: DataFrame, shared_cores: np.ndarray) -> DataFrame:
-    """(doc, key, line, h1, h2, v1, v2) of the lines with a shared core: v1 and v2 hold the hashes without each word.
+def variants(docs: DataFrame, cores: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, key, line, h1, h2, v1, v2, words) of the lines with a core in cores: v1 and v2 hold the hashes without each word.
 
-    A line that a task has met before comes with empty arrays.
+    A line that a task has met before comes with empty arrays and without words. cores is written, found holds the ``occurrences``.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(shared_cores)
+    rows = docs.select("id", "key", "text")
+    bits = bit_filter(cores, "core")
+    if bits is None:
+        lines = found.select("doc", "key", "line", F.explode("cores").alias("core")).join(cores, "core", "left_semi").groupBy("doc", "key").agg(F.collect_set("line").alias("lines"))
+        rows = rows.alias("d").join(lines.alias("l"), F.expr("d.id <=> l.doc and d.key = l.key")).select("d.*", "l.lines")
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
-            words, edge, owner, number = _line_words(b.column(2).to_pylist())
-            at = np.flatnonzero(np.diff(edge) >= NEAR)
+            words, edge, owner, number, lines = _line_words(b.column(2).to_pylist())
             one, two = (Ranges(words, step) for step in STEPS)
-            lines, cores = _cores(one, edge[at], edge[at + 1])
-            kept = at[np.unique(lines[may_hold(wanted.value, cores)])]
+            if wanted.value is None:
+                own = [set(x) for x in b.column(3).to_pylist()]
+                kept = np.array([i for i, (o, k) in enumerate(zip(owner.tolist(), number.tolist())) if k in own[o]], dtype=np.int64)
+            else:
+                at = np.flatnonzero(np.diff(edge) >= NEAR)
+                which, cores = _cores(one, edge[at], edge[at + 1])
+                kept = at[np.unique(which[may_hold(wanted.value, cores)])]
             x, y = edge[kept], edge[kept + 1]
             h1 = one(x, y)
-            lists, sizes = [np.zeros((2, 0), np.uint64)], []
+            lists, sizes, texts = [np.zeros((2, 0), np.uint64)], [], []
             for i, h in enumerate(h1.tolist()):
                 new = h not in met
                 sizes.append(int(y[i] - x[i]) if new else 0)
+                texts.append(b" ".join(lines[kept[i]].split()).decode("utf-8", "replace") if new else None)
                 if new:
                     if len(met) >= MET:
                         met.clear()
@@ -168,17 +179,24 @@ def variants(docs: DataFrame, shared_cores: np.ndarray) -> DataFrame:
             flat = np.concatenate(lists, axis=1)
             who = pa.array(owner[kept])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(who), b.column(1).take(who), pa.array(number[kept].astype(np.int32)), _i64(h1), _second(two(x, y)), _lists(sizes, _i64(flat[0])), _lists(sizes, _second(flat[1]))],
-                names=["doc", "key", "line", "h1", "h2", "v1", "v2"],
+                [b.column(0).take(who), b.column(1).take(who), pa.array(number[kept].astype(np.int32)), _i64(h1), _second(two(x, y)), _lists(sizes, _i64(flat[0])), _lists(sizes, _second(flat[1])), pa.array(texts, pa.string())],
+                names=["doc", "key", "line", "h1", "h2", "v1", "v2", "words"],
             )
 
     short_batches(docs.sparkSession)
-    return docs.select("id", "key", "text").mapInArrow(run, "doc long, key int, line int, h1 long, h2 int, v1 array<long>, v2 array<int>")
+    out = cut(rows.mapInArrow(run, "doc long, key int, line int, h1 long, h2 int, v1 array<long>, v2 array<int>, words string"))
+    wanted.destroy()
+    return out
 
 
-def met_variants(kept: DataFrame, shared_variants: np.ndarray) -> DataFrame:
-    """(v1, v2, place, h1, h2): the variants that may be shared, in long form; place -1 is the line itself."""
-    wanted = kept.sparkSession.sparkContext.broadcast(shared_variants)
+def met_variants(kept: DataFrame, shared: DataFrame) -> DataFrame:
+    """(v1, v2, place, h1, h2): the variants that may be in shared (v), which is written, in long form; place -1 is the line itself."""
+    bits = bit_filter(shared, "v")
+    if bits is None:
+        each = kept.where("size(v1) > 0").select("h1", "h2", F.posexplode(F.arrays_zip("v1", "v2")).alias("place", "x")).select("x.v1", "x.v2", "place", "h1", "h2")
+        whole = kept.where("size(v1) > 0").select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), F.lit(-1).alias("place"), "h1", "h2")
+        return each.unionByName(whole).join(shared.select(F.col("v").alias("v1")), "v1", "left_semi").select("v1", "v2", "place", "h1", "h2")
+    wanted = kept.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,38 +215,76 @@ def met_variants(kept: DataFrame, shared_variants: np.ndarray) -> DataFrame:
     return kept.select("h1", "h2", "v1", "v2").mapInArrow(run, "v1 long, v2 int, place int, h1 long, h2 int")
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """(doc, key, lines): the numbers of the lines that go, per document."""
+def within_one_edit(a: list, b: list) -> bool:
+    """Whether the edit distance of two sequences is at most 1."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h1, h2) of the pairs (h1, h2, p1, p2) of lines whose words (h1, h2, words) are within one edit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in b.columns[:2]], names=["h1", "h2"])
+
+    other = texts.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("words").alias("theirs"))
+    both = pairs.join(texts, ["h1", "h2"]).join(other, ["p1", "p2"])
+    return both.select("h1", "h2", "words", "theirs").mapInArrow(run, "h1 long, h2 int").distinct()
+
+
+def near_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(h1, h2), written: the lines within one edit of an earlier one; found holds the ``occurrences``."""
     at = F.struct("doc", "key", "line")
-    several = lambda rows, key: rows.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select(key)
-    found = cut(occurrences(docs))
+    several = lambda rows, key: cut(rows.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select(key))
     cores = several(found.select(F.explode("cores").alias("core"), "h1"), "core")
-    kept = cut(variants(docs, bit_filter(cores, "core")))
+    kept = variants(docs, cores, found)
     shared = several(kept.where("size(v1) > 0").select(F.explode(F.concat("v1", F.array("h1"))).alias("v"), "h1"), "v")
     firsts = kept.groupBy("h1", "h2").agg(F.min(at).alias("first"))
-    each = cut(met_variants(kept, bit_filter(shared, "v")).distinct().join(apart(firsts), ["h1", "h2"]))
+    each = cut(met_variants(kept, shared).distinct().join(apart(firsts), ["h1", "h2"]))
     # the earliest line of each variant: among the lines without the word at that place, the line itself, and all
-    by_place = each.where("place >= 0").groupBy("v1", "v2", "place").agg(F.min("first").alias("e"))
-    by_variant = each.groupBy("v1", "v2").agg(F.min(F.when(F.col("place") < 0, F.col("first"))).alias("own"), F.min("first").alias("e"))
-    cut_line = each.where("place >= 0").join(apart(by_place), ["v1", "v2", "place"]).join(apart(by_variant.select("v1", "v2", "own")), ["v1", "v2"])
-    late = cut_line.where((F.col("e") < F.col("first")) | (F.col("own") < F.col("first"))).select("h1", "h2")
-    late = late.unionByName(each.where("place < 0").join(apart(by_variant.select("v1", "v2", "e")), ["v1", "v2"]).where(F.col("e") < F.col("first")).select("h1", "h2")).distinct()
+    who = F.struct("first", F.col("h1").alias("p1"), F.col("h2").alias("p2"))
+    by_place = each.where("place >= 0").groupBy("v1", "v2", "place").agg(F.min(who).alias("e"))
+    by_variant = each.groupBy("v1", "v2").agg(F.min(F.when(F.col("place") < 0, who)).alias("own"), F.min(who).alias("e"))
+    without = each.where("place >= 0").join(apart(by_place), ["v1", "v2", "place"]).join(apart(by_variant.select("v1", "v2", "own")), ["v1", "v2"])
+    pairs = without.select("h1", "h2", "first", F.explode(F.array("e", "own")).alias("x"))
+    pairs = pairs.unionByName(each.where("place < 0").join(apart(by_variant.select("v1", "v2", F.col("e").alias("x"))), ["v1", "v2"]).select("h1", "h2", "first", "x"))
+    pairs = cut(pairs.where(F.col("x.first") < F.col("first")).select("h1", "h2", "x.p1", "x.p2").distinct())
+    ends = cut(pairs.select(F.explode(F.array("h1", "p1")).alias("h1")).distinct())
+    texts = _may_be(kept.where("words is not null").select("h1", "h2", "words"), bit_filter(ends, "h1"), 0).groupBy("h1", "h2").agg(F.min("words").alias("words"))
+    out = cut(verified(pairs, cut(texts)))
+    drop(cores, kept, shared, each, pairs, ends)
+    return out
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """(doc, key, lines), written: the numbers of the lines that go, per document."""
+    at = F.struct("doc", "key", "line")
+    found = cut(occurrences(docs))
+    late = near_lines(docs, found)
     again = found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "first")
     gone = again.join(late.withColumn("late", F.lit(True)), ["h1", "h2"], "full")
     gone = cut(gone.select("h1", "h2", F.when(F.col("late"), F.lit(None)).otherwise(F.col("first")).alias("stays")))
-    out = _may_go(found.select("doc", "key", "line", "h1", "h2"), gone).join(gone, ["h1", "h2"]).where(~F.coalesce(F.col("stays") == at, F.lit(False)))
-    return out.groupBy("doc", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    out = _may_be(found.select("doc", "key", "line", "h1", "h2"), bit_filter(gone, "h1"), 3).join(gone, ["h1", "h2"]).where(~F.coalesce(F.col("stays") == at, F.lit(False)))
+    out = cut(out.groupBy("doc", "key").agg(F.array_sort(F.collect_set("line")).alias("lines")))
+    drop(found, late, gone)
+    return out
 
 
-def _may_go(found: DataFrame, gone: DataFrame) -> DataFrame:
-    """The occurrences whose line may be in gone."""
-    wanted = found.sparkSession.sparkContext.broadcast(bit_filter(gone, "h1"))
+def _may_be(rows: DataFrame, bits: np.ndarray | None, column: int) -> DataFrame:
+    """The rows whose hash in the given column may be in a bit set."""
+    wanted = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(may_hold(wanted.value, b.column(3).to_numpy())))
+            yield b.filter(pa.array(may_hold(wanted.value, b.column(column).to_numpy())))
 
-    return found.mapInArrow(run, "doc long, key int, line int, h1 long, h2 int")
+    return rows if bits is None else rows.mapInArrow(run, rows.schema.simpleString()[len("struct<") : -1].replace(":", " "))
 
 
 def _identity() -> Column:
@@ -241,7 +297,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     Only documents that may lose a line are shuffled to meet their line numbers.
     """
     base = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.hash(text).alias("key"), F.col(text).alias("text"))
-    gone = cut(removed(base.select("id", "key", "text").where("text is not null")))
+    gone = removed(base.select("id", "key", "text").where("text is not null"))
     bits = base.sparkSession.sparkContext.broadcast(bit_filter(gone.select(F.xxhash64("doc", "key").alias("k")), "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

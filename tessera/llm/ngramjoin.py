@@ -33,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, components, cut, drop, short_batches
+from .common import apart, bit_filter, components, cut, drop, may_hold, short_batches
 from .hashing import Sorted, mix, shingle_set, text_words
 
-#: Hashed counters of the corpus, and bits of the candidate filter; both are broadcast, so they are fixed.
+#: Hashed counters of the corpus; their classes are broadcast, so their number is fixed.
 BUCKETS = 1 << 16
-FILTER_BITS = 1 << 23
 #: Tokens in the prefixes of at least HOT_DOCS documents are put last, the commonest at the very end; the broadcast holds at most HOT of them.
 HOT = 1 << 18
 HOT_DOCS = 32
@@ -144,36 +143,27 @@ def ordered_index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return out
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-
-
 def sets_of(docs: DataFrame, idx: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(g, s), written: the sets of the nodes, made again from the text of one document each.
 
-    A filter of fixed size, one bit per hash of an id, spares the other documents; a join removes what
-    passes by chance.
+    A bit set of the documents' ids spares the others; a join removes what passes by chance.
     """
-    ids = idx.where("id is not null").join(nodes, "g", "left_semi").groupBy("g").agg(F.min("id").alias("id")).select("id").distinct()
-    word = ids.select((_slot() / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))").alias("m"))
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in word.groupBy("w").agg(F.bit_or("m").alias("m")).collect():
-        bits[r.w] = r.m
-    wanted = docs.sparkSession.sparkContext.broadcast(bits)
+    ids = cut(idx.where("id is not null").join(nodes, "g", "left_semi").groupBy("g").agg(F.min("id").alias("id")).select(F.xxhash64("id").alias("k")).distinct())
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slot = b.column(2).to_numpy()
-            hit = np.flatnonzero(wanted.value[slot >> 6] >> (slot & 63) & 1)
+            hit = np.flatnonzero(may_hold(wanted.value, b.column(0).to_numpy()))
             if not len(hit):
                 continue
             found = _sets(b.column(1).take(pa.array(hit)).to_pylist(), n)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([_node(mix(s ^ _OTHER)) for s in found], pa.int64()), lists], names=["g", "s"])
 
-    passed = docs.where("id is not null").select("id", "text", _slot().alias("slot")).mapInArrow(run, "g long, s array<long>")
+    passed = docs.where("id is not null").select(F.xxhash64("id").alias("k"), "text").mapInArrow(run, "g long, s array<long>")
     out = cut(passed.join(nodes, "g", "left_semi").groupBy("g").agg(F.first("s").alias("s")))
     wanted.destroy()
+    drop(ids)
     return out
 
 

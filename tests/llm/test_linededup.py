@@ -46,8 +46,11 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "bits"), [(1, None), (2, None), (3, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, bits):
+    """With hardly any bits for filters, joins take their place."""
+    if bits:
+        monkeypatch.setattr("tessera.llm.common.FILTER_BITS", bits)
     docs = corpus(seed)
     want = brute(docs)
     got = {r.doc_id: r for r in L.query(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
@@ -57,6 +60,21 @@ def test_against_brute_force(spark, seed):
         assert got[d].text == "\n".join(left) and got[d].n_removed == len(want.get(d, [])) and got[d].n_lines == len(lines)
 
 
+def test_edit_distance_is_verified():
+    rnd = random.Random(9)
+    for _ in range(3000):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 6))] for _ in range(2))
+        assert L.within_one_edit(a, b) == (a == b or within_one(a, b))
+
+
+def test_equal_hashes_of_different_lines_are_not_enough(spark):
+    """Pairs that the variants' hashes bring together are only removed if their words say so."""
+    texts = spark.createDataFrame([(1, 1, "a b c d e"), (2, 2, "a b x d e"), (3, 3, "a y x d e")], "h1 long, h2 int, words string")
+    pairs = spark.createDataFrame([(2, 2, 1, 1), (3, 3, 1, 1), (3, 3, 2, 2)], "h1 long, h2 int, p1 long, p2 int")
+    assert sorted(r.h1 for r in L.verified(pairs, texts).collect()) == [2, 3]
+    assert [r.h1 for r in L.verified(pairs.where("p1 = 1"), texts).collect()] == [2]
+
+
 def test_edges(spark):
     docs = edge.documents(spark)
     got = L.dedup(docs).collect()
