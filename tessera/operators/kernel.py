@@ -1,22 +1,31 @@
-"""Subword segmentation of one text: cleaning and normalization with positions, best path, unknown runs, masks.
+"""Subword segmentation: cleaning and normalization with positions, best path, unknown runs, masks.
 
-Plain Python, run in Arrow batches by ``tokenize``. Scores are added in single precision, and a character no
+Run in Arrow batches by ``tokenize``. Scores are added in single precision, and a character no
 piece covers sets the score of the path back to zero, so segmentations are those of the tokenizer the
 models were made for. Positions are code points of the input.
+
+Ids of whole texts are made word by word, each distinct word once and all of a length together (``lattice``), wherever that provably equals
+the path over the whole text: markers only lead words, each character of a piece is a piece, and no sum up to the text's
+end can round. Other texts are walked whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from array import array
 from dataclasses import dataclass, field
+from itertools import groupby
+
+import numpy as np
 
 from ..functions.charclass import CONTROL, CONTROL_RANGES, MARKER, REPLACEMENT, WHITESPACE, WHITESPACE_SET, is_dropped
 from ..schema import Mask
 from ..sources.protowire import Piece, read_model
 from ..sources.vocab import SpecialTokens, Vocab
+from .lattice import Lattice
 
+#: Words that a worker remembers.
+WORDS = 200_000
 _TRAILING = re.compile(r"\s+\Z")
 _SPACE = re.compile("[" + "".join(map(chr, WHITESPACE)) + "]")
 _DROPPED = re.compile("[" + "".join(map(re.escape, map(chr, (*CONTROL, REPLACEMENT)))) + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in CONTROL_RANGES) + "]")
@@ -27,6 +36,7 @@ class Pieces:
 
     def __init__(self, pieces: list[tuple[str, float]]):
         self.table: dict[str, tuple[float, int] | None] = {}
+        self._lattice: Lattice | None = None
         for i, (text, score) in enumerate(pieces):
             for k in range(1, len(text)):
                 self.table.setdefault(text[:k])
@@ -49,28 +59,31 @@ class Pieces:
                 out.append((part, *hit))
         return out
 
+    @property
+    def lattice(self) -> Lattice:
+        """The pieces as sorted hashes; made where it is used, not shipped."""
+        if self._lattice is None:
+            found = [(t, *hit) for t, hit in self.table.items() if hit]
+            self._lattice = Lattice([t for t, _, _ in found], [x for _, x, _ in found], [i for _, _, i in found])
+        return self._lattice
+
+    def __getstate__(self) -> dict:
+        return {"table": self.table, "_lattice": None}
+
     def best_path(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, index) of the nodes of the best path; equal sums go to the earliest start."""
-        n = len(text)
-        best, back, index = array("f", bytes(4 * (n + 1))), [-1] * (n + 1), [0] * (n + 1)
-        single, get, missing = array("f", [0.0]), self.table.get, (0.0, -1)
-        for start in range(n + 1):
-            if start and back[start] < 0:  # an unknown character
-                back[start], index[start], best[start] = start - 1, 0, 0.0
-            here = best[start]
-            for end in range(start + 1, n + 1):
-                hit = get(text[start:end], missing)
-                if hit is missing:
-                    break
-                if hit:
-                    single[0] = here + hit[0]
-                    if back[end] < 0 or single[0] > best[end]:
-                        best[end], back[end], index[end] = single[0], start, hit[1]
-        path, end = [], n
-        while end:
-            path.append((back[end], end, index[end]))
-            end = back[end]
-        return path[::-1]
+        _, starts, ends, index, _ = self.lattice.paths([text])
+        return list(zip(starts.tolist(), ends.tolist(), index.tolist()))
+
+    def exact_below(self) -> float:
+        """Sums of scores whose absolute value stays below this do not round in single precision: all scores are multiples of one power of two."""
+        scores = np.array([hit[0] for hit in self.table.values() if hit and hit[0]], dtype=np.float32).astype(np.float64)
+        if not len(scores):
+            return np.inf
+        whole, exponent = np.frexp(scores)
+        bits = (whole * (1 << 24)).astype(np.int64)
+        least = int((exponent + np.round(np.log2((bits & -bits).astype(np.float64)))).min()) - 24
+        return float(2.0 ** (least + 24))
 
     def closed(self, apart=()) -> bool:
         """Whether words can be segmented alone: markers only lead, and each character of a piece is a piece.
@@ -131,34 +144,31 @@ def split_special(text: str, refs: list[int], specials: list[str], unk: str | No
 def merge_unknown(nodes: list[Token], unknown: list[bool]) -> list[Token]:
     """Runs of unknown nodes become one token, with the positions of the last and, if it is a run, the mask Unknown."""
     out: list[Token] = []
-    before = False
-    for node, is_unknown in zip(nodes, unknown):
-        if is_unknown and before:
-            out[-1] = Token(out[-1].text + node.text, node.refs, Mask.UNKNOWN)
-        else:
-            out.append(node)
-        before = is_unknown
+    for is_unknown, run in groupby(zip(nodes, unknown), key=lambda x: x[1]):
+        run = [node for node, _ in run]
+        if is_unknown and len(run) > 1:
+            run = [Token("".join(t.text for t in run), run[-1].refs, Mask.UNKNOWN)]
+        out += run
     return out
 
 
-def _punctuation(c: str) -> bool:
-    return unicodedata.category(c)[0] == "P"
+def kind(token: str) -> int:
+    """The mask that a token asks for by itself: punctuation, white space, a continuation, or none."""
+    if len(token) == 1 and ord(token) <= 0xFFFF:
+        if unicodedata.category(token).startswith("P"):
+            return Mask.PUNCTUATION
+        if token.isspace():
+            return Mask.WHITESPACE
+    return Mask.NONE if token[:1] == MARKER else Mask.CONTINUATION
 
 
 def populate_masks(tokens: list[Token]) -> list[Token]:
-    previous = Mask.NONE
-    for t in tokens:
-        if len(t.text) == 1 and ord(t.text) < 0x10000:
-            if _punctuation(t.text):
-                t.mask = previous = Mask.PUNCTUATION
-                continue
-            if t.text.isspace():
-                t.mask, previous = Mask.WHITESPACE, Mask.PUNCTUATION
-                continue
-        if not t.text.startswith(MARKER) and previous not in (Mask.PUNCTUATION, Mask.WHITESPACE):
-            t.mask = previous = Mask.CONTINUATION
-        else:
-            previous = Mask.NONE
+    """Each token's mask follows from its own kind and the kind before: after punctuation or white space nothing continues, and a token
+    that does not continue keeps the mask it has."""
+    kinds = [kind(t.text) for t in tokens]
+    for t, own, before in zip(tokens, kinds, [Mask.NONE, *kinds]):
+        starts = own == Mask.CONTINUATION and before in (Mask.PUNCTUATION, Mask.WHITESPACE)
+        t.mask = t.mask if starts or own == Mask.NONE else own
     return tokens
 
 
@@ -174,7 +184,14 @@ class Tokenizer:
     pieces: Pieces
     lowercase: bool = False
     prefix_ref: str = "text"
-    _words: dict[str, list[int]] = field(default_factory=dict, repr=False)
+    _words: dict[str, tuple[bytes, float]] = field(default_factory=dict, repr=False)
+    _ids: np.ndarray | None = field(default=None, repr=False)
+    _limit: float | None = field(default=None, repr=False)
+    _highest: float = field(default=0.0, repr=False)
+
+    def __getstate__(self) -> dict:
+        """What a worker remembers is not shipped."""
+        return self.__dict__ | {"_words": {}, "_ids": None, "_limit": None}
 
     @classmethod
     def from_file(cls, path: str, lowercase: bool = False, specials: str | None = None) -> Tokenizer:
@@ -215,17 +232,14 @@ class Tokenizer:
         found = split_special(text, [0] * len(text), specials, self.vocab.specials.unk)
         return [(p.text, True) if p.mask != Mask.NONE else (self.normalized_text(p.text), False) for p in found]
 
-    def _path_ids(self, text: str) -> list[int]:
-        out, run = [], ""
-        for a, b, i in self.pieces.best_path(text):
-            if i == 0:
-                run += text[a:b]
-                continue
-            if run:
-                out.append(self.vocab.token_to_id(run))
-                run = ""
-            out.append(self.vocab.token_to_id(text[a:b]))
-        return [*out, self.vocab.token_to_id(run)] if run else out
+    def _path_ids(self, text: str, path: list[tuple[int, int, int]]) -> list[int]:
+        """Ids of a path's tokens, runs of unknown nodes being one."""
+        out = []
+        for unknown, run in groupby(path, key=lambda node: node[2] == 0):
+            run = list(run)
+            cuts = [(run[0][0], run[-1][1])] if unknown else [(a, b) for a, b, _ in run]
+            out += [self.vocab.token_to_id(text[a:b]) for a, b in cuts]
+        return out
 
     def tokenize(self, text: str | None) -> list[Token]:
         if text is None or not text.strip():
@@ -243,27 +257,61 @@ class Tokenizer:
 
     def ids(self, text: str | None) -> list[int]:
         """The ids of ``tokenize``."""
-        out: list[int] = []
-        for part, special in self.parts(text):
-            out += [self.vocab.token_to_id(part)] if special else self._path_ids(part)
+        return self.batch_ids([text])[0].tolist()
+
+    def word_ids(self, text: str | None) -> list[int]:
+        """ids with each marked word segmented alone. Needs ``Pieces.closed``; equal to ids as long as sums are exact."""
+        return self.batch_ids([text], by_word=True)[0].tolist()
+
+    def batch_ids(self, texts: list[str | None], by_word: bool = False) -> list[np.ndarray]:
+        """Ids of each text. Words are segmented alone where that cannot change the path, with by_word everywhere."""
+        parts = [self.parts(t) for t in texts]
+        if self._limit is None:
+            self._limit = self.pieces.exact_below() if self.pieces.closed(self.vocab.special_values) else 0.0
+            self._highest = max((abs(hit[0]) for hit in self.pieces.table.values() if hit), default=0.0)
+        alone = by_word or self._limit > 0
+        split = [[None if special or not alone else part[1:].split(MARKER) for part, special in own] for own in parts]
+        self._learn({w for own in split for words in own if words for w in words})
+        known, empty = self._words, np.zeros(0, dtype=np.int64)
+        out = []
+        for own, cut in zip(parts, split):
+            made = []
+            for (part, special), words in zip(own, cut):
+                if special:
+                    made.append(np.array([self.vocab.token_to_id(part)]))
+                    continue
+                if words:
+                    found = [known[w] for w in words]
+                    reach = sum(x for _, x in found) + (1 + max(map(len, words))) * self._highest
+                    if by_word or reach < self._limit:
+                        made.append(np.frombuffer(b"".join([x for x, _ in found]), dtype=np.int64))
+                        continue
+                made.append(np.array(self._path_ids(part, self.pieces.best_path(part)), dtype=np.int64))
+            out.append(np.concatenate(made) if made else empty)
         return out
 
-    def word_ids(self, text: str | None, most: int = 200_000) -> list[int]:
-        """ids with each marked word segmented alone and remembered. Needs ``Pieces.closed``; equal to ids as long as sums are exact."""
-        out: list[int] = []
-        known = self._words
-        for part, special in self.parts(text):
-            if special:
-                out.append(self.vocab.token_to_id(part))
-                continue
-            for word in part[1:].split(MARKER):
-                found = known.get(word)
-                if found is None:
-                    if len(known) >= most:
-                        known.clear()
-                    found = known[word] = self._path_ids(MARKER + word)
-                out += found
-        return out
+    def _learn(self, words: set[str]) -> None:
+        """Remembers the ids of words, as bytes, and the absolute sums of their paths."""
+        new = [w for w in words if w not in self._words]
+        if len(self._words) + len(new) > WORDS:
+            self._words.clear()
+            new = list(words)
+        if not new:
+            return
+        marked = [MARKER + w for w in new]
+        edges, starts, ends, index, sums = self.pieces.lattice.paths(marked)
+        if self._ids is None:
+            size = 1 + max((hit[1] for hit in self.pieces.table.values() if hit), default=0)
+            self._ids = np.zeros(size, dtype=np.int64)
+            for t, hit in self.pieces.table.items():
+                if hit:
+                    self._ids[hit[1]] = self.vocab.token_to_id(t)
+        blob, edge, reach = self._ids[index].tobytes(), edges.tolist(), np.abs(sums).tolist()
+        self._words.update((w, (blob[8 * a : 8 * b], x)) for w, a, b, x in zip(new, edge, edge[1:], reach))
+        unknown = np.unique(np.searchsorted(edges, np.flatnonzero(index == 0), side="right") - 1)
+        for i in unknown.tolist():
+            path = list(zip(starts[edge[i] : edge[i + 1]].tolist(), ends[edge[i] : edge[i + 1]].tolist(), index[edge[i] : edge[i + 1]].tolist()))
+            self._words[new[i]] = (np.array(self._path_ids(marked[i], path), dtype=np.int64).tobytes(), reach[i])
 
 
 def offset(refs: list[int]) -> dict | None:

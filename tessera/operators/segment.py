@@ -60,12 +60,12 @@ def best_path_fold(edges: DataFrame, words: DataFrame, word: str = "word") -> Da
 def best_path_arrow(words: DataFrame, pieces: kernel.Pieces, word: str = "word") -> DataFrame:
     """(word, path) as ``best_path_fold``, with the pieces in a broadcast."""
     shared = words.sparkSession.sparkContext.broadcast(pieces)
-    kind = pa.list_(pa.struct([("st", pa.int32()), ("en", pa.int32()), ("idx", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths = [[{"st": s, "en": e, "idx": i} for s, e, i in shared.value.best_path(w)] for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, kind)], names=[word, "path"])
+            edges, starts, ends, index, _ = shared.value.lattice.paths(b.column(0).to_pylist())
+            nodes = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(index, pa.int64())], names=["st", "en", "idx"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), nodes)], names=[word, "path"])
 
     return spread(words.select(word)).mapInArrow(run, f"{word} string, path array<struct<st:int,en:int,idx:bigint>>")
 

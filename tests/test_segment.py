@@ -77,3 +77,35 @@ def test_word_mode_equals_exact():
     assert t.pieces.closed(t.vocab.special_values)
     for text in ("ab ab  ba.", "  a", "b <mask> ab", "", "   ", "aaaa bbbb ab.ab"):
         assert t.word_ids(text) == t.ids(text)
+
+
+@given(st.lists(st.text(alphabet="abcd▁ü🤔", max_size=20), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_lattice_of_many_words(words):
+    """Words together, and long ones walked alone in blocks, have the paths of each alone."""
+    from tessera.operators import lattice
+
+    want = [pull(PIECES, w) for w in words]
+    for long, block in ((512, 1 << 19), (1, 1 << 19), (1, 5), (4, 7)):
+        old = lattice.LONG, lattice.BLOCK
+        lattice.LONG, lattice.BLOCK = long, block
+        try:
+            edges, starts, ends, index, _ = K.Pieces(PIECES).lattice.paths(words)
+        finally:
+            lattice.LONG, lattice.BLOCK = old
+        flat = list(zip(starts.tolist(), ends.tolist(), index.tolist()))
+        assert [flat[a:b] for a, b in zip(edges, edges[1:])] == want
+
+
+def test_sums_that_may_round_are_walked_whole():
+    """With scores that are no multiples of a large power of two, long texts are not cut into words."""
+    rnd = random.Random(1)
+    pieces = [K.Piece("<unk>"), K.Piece("<s>"), K.Piece("</s>"), *[K.Piece(p, -rnd.random() * 3 - 1) for p in ("▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "▁ab", "ca")]]
+    t = K.Tokenizer.from_pieces(pieces)
+    assert t.pieces.closed(t.vocab.special_values) and 0 < t.pieces.exact_below() < 16
+    text = " ".join("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(250))
+    norm = t.normalized_text(text)
+    whole = pull([(p.text, p.score) for p in pieces], norm)
+    assert t.ids(text) == [t.vocab.token_to_id(norm[a:b]) for a, b, _ in whole]
+    assert K.Pieces([("<unk>", 0.0), ("a", -1.125), ("b", -20.0)]).exact_below() == 2.0 ** 21
+    assert K.Pieces([("<unk>", 0.0), ("a", -3.0)]).exact_below() == 2.0 ** 24
