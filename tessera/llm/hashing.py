@@ -1,4 +1,4 @@
-"""Vectorised hashing of words and shingles, and probing of sorted hash arrays, in numpy.
+"""Vectorised hashing of words and shingles, in numpy.
 
 Word hashes are differences of prefix sums of a polynomial over random byte values modulo 2**64: one pass
 over the bytes whatever the number of words. All constants are derived from fixed seeds, so every worker
@@ -11,6 +11,10 @@ import re
 
 import numpy as np
 
+from ..functions.probing import Sorted, mix
+
+__all__ = ["Sorted", "mix", "text_words", "word_hashes", "fold", "shingle_set", "spans", "chunks"]
+
 _rng = np.random.default_rng(20240611)
 #: Random odd multipliers and byte values.
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -24,16 +28,6 @@ WORD = np.ones(256, dtype=bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values (the finaliser of splitmix64)."""
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return h
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
@@ -133,26 +127,3 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) >= n:
         return np.unique(fold(words, n))
     return fold(words, len(words)) + np.uint64(len(words)) if len(words) else words
-
-
-class Sorted:
-    """Sorted distinct hashes with a directory over their upper bits: probes cost a few vectorised steps."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        bits = max(1, min(20, int(len(keys)).bit_length() + 4))
-        self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
-        ends = np.append(self.first[1:], len(keys))
-        self.run = int((ends - self.first).max()) if len(keys) else 0
-        self.padded = np.append(keys, np.zeros(self.run + 1, dtype=np.uint64))
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The position of each hash among the keys, or -1."""
-        out = np.full(hashes.shape, -1, dtype=np.int32)
-        at = self.first[(hashes >> self.shift).astype(np.int64)]
-        for _ in range(self.run):
-            hit = (self.padded[at] == hashes) & (at < len(self.keys))
-            np.copyto(out, at, where=hit)
-            at = at + np.int32(1)
-        return out

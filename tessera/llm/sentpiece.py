@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding: the best path over scored pieces, in batched numpy.
 
 Spaces become markers and cut a text into words, each with its leading markers (no piece has a marker after
-another character; this is checked at load). Line breaks that no piece holds cut them as well. The distinct new words of a batch are grouped by length, and all
-words of a length advance together: hashes of all their substrings probe the sorted hashes of the pieces,
-and at each end position one vectorised maximum over the piece lengths stores the back-pointers. Equal sums
-go to the earliest start. A character that no piece covers costs the least score minus ``UNKNOWN`` and is
-written as its byte pieces. Any model file of the library can be read; scores are taken as they are, so a BPE
+another character; this is checked at load). Line breaks that no piece holds cut them as well. The distinct new words of a batch are
+grouped by length, and all words of a length advance together: hashes of all their substrings probe the sorted hashes of the pieces,
+and at each end position one vectorised maximum over the piece lengths stores the back-pointers (``operators.lattice``). Words of hundreds of
+characters, as in texts without spaces, are looked up in blocks and walked from start to start, so time and memory stay in
+proportion to their length. Equal sums go to the earliest start. A character that no piece covers costs the least score minus ``UNKNOWN``
+and is written as its byte pieces. Any model file of the library can be read; scores are taken as they are, so a BPE
 file's merge ranks act as scores.
 
 Null and empty texts have no ids. Decoding gives the text back exactly for models that do not normalise.
@@ -24,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import VocabularyParsingError
+from ..operators.lattice import Lattice
 from ..sources import protowire as W
 from .common import short_batches
-from .hashing import Sorted, mix
 
 MARK = "▁"
 UNKNOWN = 10.0
-BLOCK = 1 << 21
-CACHE = 400_000
+#: Words, of SHORT characters at most, that a worker remembers; longer ones are encoded where they stand.
+CACHE = 200_000
+SHORT = 64
 MODEL = "piece_bpe_32k.model"
-_STEP = np.uint64(0x2545F4914F6CDD1D)
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -43,11 +44,6 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
-def codes(words: list[str]) -> np.ndarray:
-    """Code points of equally long words, one row each."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), -1).astype(np.uint64)
-
-
 class Model:
     def __init__(self, path: str):
         file = W.read_model(path)
@@ -64,65 +60,25 @@ class Model:
         self.unk_score = min(scores) - UNKNOWN
         top = max(scores)
         value = {t: len(t) * top - 0.1 if file.pieces[i].kind == W.USER_DEFINED else file.pieces[i].score for t, i in usable.items()}
-        self.longest = max(map(len, usable), default=1)
-        by_hash = sorted((int(self._hash(t)), i, value[t]) for t, i in usable.items())
-        self.keys = Sorted(np.array([h for h, _, _ in by_hash], dtype=np.uint64))
-        self.ids = np.array([i for _, i, _ in by_hash] + [-1], dtype=np.int32)
-        self.scores = np.array([s for _, _, s in by_hash] + [-np.inf])
+        self.lattice = Lattice(list(usable), [value[t] for t in usable], list(usable.values()), unknown=self.unk_score, missing=-1)
         self.surface = [
             bytes([int(p.text[3:5], 16)]) if p.kind == W.BYTE else b" \xe2\x81\x87 " if p.kind == W.UNKNOWN else b"" if p.kind == W.CONTROL else p.text.replace(MARK, " ").encode()
             for p in file.pieces
         ]
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def _hash(text: str) -> np.uint64:
-        h = np.zeros(1, dtype=np.uint64)
-        for c in codes([text])[0]:
-            h = h * _STEP + c + np.uint64(1)
-        return mix(h)[0]
-
     def best(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of one length, one after the other, -1 - code point for unknown characters; where each word's begin."""
-        c = codes(words)
-        g, n = c.shape
-        most = min(n, self.longest)
-        score = np.full((most, g, n), -np.inf)  # by piece length, word and start
-        piece = np.full((most, g, n), -1, dtype=np.int32)
-        h = np.zeros_like(c)
-        for k in range(most):
-            h = h[:, : n - k] * _STEP + c[:, k:] + np.uint64(1)
-            at = self.keys.find(mix(h))
-            score[k, :, : n - k], piece[k, :, : n - k] = self.scores[at], self.ids[at]
-        missing = piece[0] < 0
-        score[0][missing] = self.unk_score
-        total = np.zeros((g, n + 1))
-        back = np.zeros((g, n + 1), dtype=np.int32)
-        rows = np.arange(g)
-        for end in range(1, n + 1):
-            starts = np.arange(max(0, end - most), end)
-            sums = total[:, starts] + score[end - 1 - starts, :, starts].T
-            first = np.argmax(sums, axis=1)
-            total[:, end], back[:, end] = sums[rows, first], starts[first]
-        steps, place = [], np.full(g, n)
-        alive = rows
-        while len(alive):
-            start = back[alive, place[alive]]
-            found = piece[place[alive] - start - 1, alive, start].astype(np.int64)
-            found = np.where(found < 0, -1 - c[alive, start].astype(np.int64), found)
-            steps.append((alive, found))
-            place[alive] = start
-            alive = alive[start > 0]
-        owner = np.concatenate([a for a, _ in steps])
-        depth = np.repeat(np.arange(len(steps)), [len(a) for a, _ in steps])
-        order = np.lexsort((-depth, owner))
-        flat = np.concatenate([f for _, f in steps])[order]
-        return flat, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=g))])
+        """Ids of the words, one after the other, -1 - code point for unknown characters; where each word's begin."""
+        edges, starts, _, ids, _ = self.lattice.paths(words)
+        for i in np.flatnonzero(ids < 0).tolist():
+            w = words[int(np.searchsorted(edges, i, side="right")) - 1]
+            ids[i] = -1 - ord(w[starts[i]])
+        return ids, edges
 
     def pack(self, words: list[str]) -> list[bytes]:
-        """Ids of words of one length as little-endian uint32."""
+        """Ids of words as little-endian uint32."""
         flat, edge = self.best(words)
-        blob, ends = flat.astype("<u4").tobytes(), (4 * edge).tolist()
+        blob, ends = flat.astype("<i4").tobytes(), (4 * edge).tolist()
         out = [blob[a:b] for a, b in zip(ends, ends[1:])]
         for i in np.unique(np.searchsorted(edge, np.flatnonzero(flat < 0), side="right") - 1).tolist():
             out[i] = self._with_bytes(flat[edge[i] : edge[i + 1]])
@@ -140,14 +96,7 @@ class Model:
         if len(self.known) + len(new) > CACHE:
             self.known = {}
             new = list(words)
-        by_length: dict[int, list[str]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
-        for n, group in by_length.items():
-            most = max(1, BLOCK // (n * min(n, self.longest)))
-            for at in range(0, len(group), most):
-                part = group[at : at + most]
-                self.known.update(zip(part, self.pack(part)))
+        self.known.update(zip(new, self.pack(new)))
 
     def words(self, text: str) -> list[str]:
         """Parts of the marked text that no piece reaches across: cut before markers and, if no piece has one, line breaks."""
@@ -165,10 +114,11 @@ class Model:
             words: set[str] = set()
             first = at
             while at < len(split) and (at == first or len(words) + len(split[at]) <= CACHE):
-                words.update(split[at])
+                words.update(w for w in split[at] if len(w) <= SHORT)
                 at += 1
             self.learn(words)
-            out += [b"".join(map(self.known.__getitem__, w)) for w in split[first:at]]
+            get = self.known.get
+            out += [b"".join([get(x) or self.pack([x])[0] for x in w]) for w in split[first:at]]
         return out
 
     def decode(self, ids: bytes) -> str:

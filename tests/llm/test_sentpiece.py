@@ -74,6 +74,27 @@ def test_round_trip():
     assert model.encode([None]) == [b""]
 
 
+def test_long_words_take_time_in_proportion():
+    """Texts without spaces: the same ids as by the plain Viterbi, and no more than a few seconds for 400,000 characters."""
+    import time
+
+    model, rnd = S.model(S.default_model()), random.Random(5)
+    text = "".join(rnd.choice("abcdeéthingouanrs日本.,!") for _ in range(400_000))
+    began = time.time()
+    ids = model.encode([text])
+    assert time.time() - began < 10 and model.decode(ids[0]) == text
+    word = "▁" + text[:600]
+    short = S.Model(S.default_model())
+    from tessera.operators import lattice
+
+    old, lattice.LONG = lattice.LONG, 1 << 30
+    try:
+        whole = short.best([word])[0].tolist()
+    finally:
+        lattice.LONG = old
+    assert model.best([word])[0].tolist() == whole
+
+
 def test_columns_and_edges(spark):
     docs = edge.documents(spark)
     encoded = S.encode(docs)
