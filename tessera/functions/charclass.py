@@ -34,6 +34,8 @@ WHITESPACE_CLASS = regex_class(WHITESPACE)
 CONTROL_CLASS = regex_class(CONTROL, CONTROL_RANGES)
 CONTROL_LAX_CLASS = regex_class((), CONTROL_LAX_RANGES)
 DROPPED_CLASS = regex_class((*CONTROL, REPLACEMENT), CONTROL_RANGES)
+#: Printable characters up to U+02FF but spaces and the soft hyphen: none is white space or a control.
+PLAIN_CLASS = regex_class((), ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0x2FF)))
 BLANK_CLASS = regex_class((), BLANK_RANGES)
 
 WHITESPACE_SET = frozenset(map(chr, WHITESPACE))
@@ -44,10 +46,3 @@ def is_dropped(c: str) -> bool:
     """Whether cleaning deletes the character."""
     p = ord(c)
     return p in _SINGLE or any(a <= p <= b for a, b in CONTROL_RANGES)
-
-
-def byte_symbols() -> str:
-    """For each byte, the character that byte-level vocabularies write it as: printable ones are themselves, the others follow from U+0100 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(0x100, 0x200))
-    return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))

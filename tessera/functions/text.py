@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .charclass import BLANK_CLASS, CONTROL_CLASS, CONTROL_LAX_CLASS, DROPPED_CLASS, MARKER, WHITESPACE_CLASS, byte_symbols
+from .charclass import BLANK_CLASS, CONTROL_CLASS, CONTROL_LAX_CLASS, DROPPED_CLASS, MARKER, PLAIN_CLASS, WHITESPACE
 
 #: Replacements that tidy decoded text, in order.
 CLEANUP = (
@@ -18,29 +21,38 @@ CLEANUP = (
     (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"),
 )
 
-_LATIN = "".join(map(chr, range(256)))
-
-
 def is_blank(text: Column) -> Column:
     """Null, empty or white space only."""
     return F.coalesce(text, F.lit("")).rlike(f"^{BLANK_CLASS}*$")
 
 
+SPACES = "".join(map(chr, WHITESPACE))
+
+
+def odd_ones(text: Column) -> Column:
+    """The characters of a text that may be white space or controls: what is plain goes, in long runs."""
+    return F.regexp_replace(text, f"{PLAIN_CLASS}++", "")
+
+
 def count_whitespace(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, WHITESPACE_CLASS, ""))
+    odd = odd_ones(text)
+    return F.length(odd) - F.length(F.translate(odd, SPACES, ""))
 
 
 def count_control(text: Column, strict: bool = True) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, CONTROL_CLASS if strict else CONTROL_LAX_CLASS, ""))
+    """Strict ones are those that cleaning deletes, U+FFFD apart."""
+    odd = odd_ones(text)
+    return F.length(odd) - F.length(F.regexp_replace(odd, CONTROL_CLASS if strict else CONTROL_LAX_CLASS, ""))
 
 
 def clean_text(text: Column) -> Column:
-    """White space becomes a space; controls, NUL and U+FFFD go."""
-    return F.regexp_replace(F.regexp_replace(text, WHITESPACE_CLASS, " "), DROPPED_CLASS, "")
+    """White space becomes a space; controls, NUL and U+FFFD go, if there are any."""
+    spaced = F.translate(text, SPACES, " " * len(SPACES))
+    return F.when(odd_ones(text).rlike(DROPPED_CLASS), F.regexp_replace(spaced, DROPPED_CLASS, "")).otherwise(spaced)
 
 
 def whitespace_to_marker(text: Column) -> Column:
-    return F.regexp_replace(text, WHITESPACE_CLASS, MARKER)
+    return F.translate(text, SPACES, MARKER * len(SPACES))
 
 
 def dummy_prefix(text: Column) -> Column:
@@ -51,19 +63,28 @@ def lowercase(text: Column) -> Column:
     return F.lower(text)
 
 
-@F.pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _beyond_ascii(function) -> Callable[[Column], Column]:
+    """A function of a text column from one of texts that leaves ASCII alone; batches of ASCII texts pass through as they are."""
+
+    @F.arrow_udf(StringType())
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            plain = pc.string_is_ascii(batch).fill_null(True)
+            if pc.all(plain).as_py() is not False:
+                yield batch
+                continue
+            changed = pa.array([function(t) for t in batch.filter(pc.invert(plain)).to_pylist()], batch.type)
+            yield pc.replace_with_mask(batch, pc.invert(plain), changed)
+
+    return run
 
 
-@F.pandas_udf(StringType())
-def _strip(s: pd.Series) -> pd.Series:
-    def one(t):
-        if t is None or t.isascii():
-            return t
-        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+def _without_accents(text: str) -> str:
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn"))
 
-    return s.map(one)
+
+_nfkc = _beyond_ascii(lambda t: unicodedata.normalize("NFKC", t))
+_strip = _beyond_ascii(_without_accents)
 
 
 def nfkc(text: Column) -> Column:
@@ -74,12 +95,6 @@ def strip_accents(text: Column) -> Column:
     return _strip(text)
 
 
-def only_where_needed(df: DataFrame, text: str, out: str, function) -> DataFrame:
-    """df with out = function(text), which must leave ASCII alone; rows of ASCII text never reach Python."""
-    ascii_only = F.coalesce(F.col(text), F.lit("")).rlike(r"^[\x00-\x7F]*$")
-    return df.where(ascii_only).withColumn(out, F.col(text)).unionByName(df.where(~ascii_only).withColumn(out, function(F.col(text))))
-
-
 def clean_word(text: Column) -> Column:
     """The pre-tokenizer's cleaning: category C goes, double back-quotes and apostrophes become a quote."""
     return F.replace(F.replace(F.regexp_replace(text, r"\p{C}+", ""), F.lit("``"), F.lit('"')), F.lit("''"), F.lit('"'))
@@ -97,23 +112,14 @@ def substring_chars(text: Column, start: Column | int, length: Column | int | No
     return F.substring(text, start + 1, F.length(text) if length is None else F.lit(length) if isinstance(length, int) else length)
 
 
-def substring_bytes(text: Column, start: int, end: int | None = None) -> Column:
+def substring_bytes(text: Column, start: Column | int, end: Column | int | None = None) -> Column:
     """The UTF-8 bytes [start, end) as text; a cut inside a character gives replacement characters."""
-    size = F.octet_length(text) - start if end is None else F.lit(end - start)
-    raw = F.substring(F.encode(text, "UTF-8"), F.lit(start + 1), F.greatest(size, F.lit(0)))
+    start = F.lit(start) if isinstance(start, int) else start
+    end = F.octet_length(text) if end is None else F.lit(end) if isinstance(end, int) else end
+    raw = F.substring(F.encode(text, "UTF-8"), start + 1, F.greatest(end - start, F.lit(0)))
     return F.make_valid_utf8(raw.cast("string"))
 
 
-def bytes_to_symbols(text: Column) -> Column:
-    """The UTF-8 bytes of a text as one printable character each."""
-    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _LATIN, byte_symbols())
-
-
-def symbols_to_bytes(symbols: Column) -> Column:
-    """The text of such characters. NUL is lost: translating to it deletes."""
-    return F.make_valid_utf8(F.encode(F.translate(symbols, byte_symbols(), _LATIN), "ISO-8859-1").cast("string"))
-
-
 def utf8_length(text: Column) -> Column:
     return F.octet_length(text)
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TokenizerValueError
+from ..protocols import TokenizerProtocol
 from ..schema import OFFSET, Mask, Truncation
 from ..sources.vocab import Vocab
-from . import kernel
 from .tokenize import token_ids_column
 
 
@@ -159,12 +159,15 @@ def encode_tokens(df: DataFrame, first: str, second: str | None, template: Templ
     return row.select("row.*", made.alias(out))
 
 
-def encode(df: DataFrame, tokenizer: kernel.Tokenizer, text: str = "text", text2: str | None = None, max_len: int = 128, strategy: Truncation | str = Truncation.LONGEST_FIRST, stride: int = 0, out: str = "encoded", on_error: str = "raise", template: Template | None = None) -> DataFrame:
-    """df with model-ready arrays of each text, or pair of texts where the second is not null."""
+def encode(df: DataFrame, tokenizer: TokenizerProtocol, text: str = "text", text2: str | None = None, max_len: int = 128, strategy: Truncation | str = Truncation.LONGEST_FIRST, stride: int = 0, out: str = "encoded", on_error: str = "raise", template: Template | None = None) -> DataFrame:
+    """df with model-ready arrays of each text, or pair of texts where the second is not null.
+
+    Without a template it is the pair template or, for a tokenizer that is not ``paired``, none.
+    """
     if max_len < 0 or stride < 0:
         raise TokenizerValueError("lengths cannot be negative")
     udf = token_ids_column(df.sparkSession, tokenizer)
     rows = df.withColumn("__a", udf(F.col(text)))
     if text2:
         rows = rows.withColumn("__b", F.when(F.col(text2).isNotNull(), udf(F.col(text2))))
-    return encode_tokens(rows, "__a", "__b" if text2 else None, template or Template.pair(tokenizer.vocab), max_len, strategy, stride, out, on_error).drop("__a", "__b")
+    return encode_tokens(rows, "__a", "__b" if text2 else None, template or (Template.pair(tokenizer.vocab) if tokenizer.paired else Template()), max_len, strategy, stride, out, on_error).drop("__a", "__b")

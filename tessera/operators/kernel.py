@@ -177,13 +177,14 @@ class Tokenizer:
     """A vocabulary and scored pieces; picklable, shipped to workers in a broadcast.
 
     prefix_ref "text" gives the marker put before a segment position 0, "segment" the position of its first
-    character.
+    character. paired: ``encode`` puts the pair template around its sequences.
     """
 
     vocab: Vocab
     pieces: Pieces
     lowercase: bool = False
     prefix_ref: str = "text"
+    paired: bool = True
     _words: dict[str, tuple[bytes, float]] = field(default_factory=dict, repr=False)
     _ids: np.ndarray | None = field(default=None, repr=False)
     _limit: float | None = field(default=None, repr=False)

@@ -1,10 +1,17 @@
-"""Vocabulary joins: tokens to ids, ids to tokens, and vocabularies that grow."""
+"""Vocabulary look-ups: tokens to ids and ids to tokens as joins, arrays in place, and vocabularies that grow."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..protocols import VocabProtocol
+
 #: Vocabularies of at most so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -27,11 +34,21 @@ def id_to_token(rows: DataFrame, vocab: DataFrame, unk: str, ident: str = "id",
     return rows.join(v, F.col(ident) == F.col("__id"), "left").withColumn(out, F.coalesce("__token", F.lit(unk))).drop("__token", "__id")
 
 
-def array_to_ids(rows: DataFrame, vocab: DataFrame, unk_id: int, key: str, tokens: str = "tokens", out: str = "ids") -> DataFrame:
-    """(key, ids): an array of tokens as an array of ids, in order; null and empty arrays give empty arrays."""
-    long = rows.select(key, F.posexplode(tokens).alias("pos", "token"))
-    done = token_to_id(long, vocab, unk_id).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias(out))
-    return rows.select(key).join(done, key, "left").select(key, F.coalesce(out, F.array().cast("array<bigint>")).alias(out))
+def array_to_ids(rows: DataFrame, vocab: VocabProtocol, tokens: str = "tokens", out: str = "ids") -> DataFrame:
+    """rows with the ids of an array of tokens, in order and in place; null and empty arrays give empty arrays, null tokens the unknown id."""
+    known = {**vocab.values, **vocab.special_values}
+    shared = rows.sparkSession.sparkContext.broadcast((list(known), np.array([*known.values(), vocab.token_to_id(vocab.specials.unk)], dtype=np.int64)))
+
+    @F.arrow_udf("array<bigint>")
+    def ids(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names, numbers = shared.value
+        names = pa.array(names, pa.string())
+        for batch in column:
+            at = pc.index_in(batch.flatten().cast(pa.string()), value_set=names).fill_null(-1).to_numpy()
+            edges = np.cumsum([0, *batch.value_lengths().fill_null(0).to_pylist()])
+            yield pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(numbers[at], pa.int64()))
+
+    return rows.withColumn(out, ids(F.col(tokens)))
 
 
 def special_tokens(vocab: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..protocols import TokenizerProtocol
 from ..schema import TOKEN_IDS, TOKENS
 from . import kernel
 
@@ -39,7 +40,7 @@ def lists(found: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat, kind))
 
 
-def tokens_column(spark: SparkSession, tokenizer):
+def tokens_column(spark: SparkSession, tokenizer: TokenizerProtocol):
     """A function of a text column: STRUCT of tokens, offsets, refs and masks."""
     shared = spark.sparkContext.broadcast(tokenizer)
 
@@ -54,7 +55,7 @@ def tokens_column(spark: SparkSession, tokenizer):
     return tokenize
 
 
-def token_ids_column(spark: SparkSession, tokenizer):
+def token_ids_column(spark: SparkSession, tokenizer: TokenizerProtocol):
     """A function of a text column: STRUCT of ids, offsets, refs and masks."""
     shared = spark.sparkContext.broadcast(tokenizer)
 
@@ -70,11 +71,11 @@ def token_ids_column(spark: SparkSession, tokenizer):
     return tokenize
 
 
-def ids_column(spark: SparkSession, tokenizer: kernel.Tokenizer, mode: str = "exact"):
+def ids_column(spark: SparkSession, tokenizer: TokenizerProtocol, mode: str = "exact"):
     """A function of a text column: the ids only. mode "word" segments distinct words once; it needs a closed set of pieces."""
     if mode not in ("exact", "word"):
         raise ValueError(f"mode {mode!r}")
-    if mode == "word" and not tokenizer.pieces.closed(tokenizer.vocab.special_values):
+    if mode == "word" and isinstance(tokenizer, kernel.Tokenizer) and not tokenizer.pieces.closed(tokenizer.vocab.special_values):
         raise ValueError("word mode needs markers in front only and every character of a piece as a piece")
     shared = spark.sparkContext.broadcast(tokenizer)
 
@@ -100,7 +101,7 @@ def _rows(found: list[list[kernel.Token]], name: str, kind: pa.DataType, value)
     return pa.StructArray.from_arrays([pa.ListArray.from_arrays(edges, c) for c in columns.values()], names=list(columns))
 
 
-def tokenize(df: DataFrame, tokenizer: kernel.Tokenizer, text: str = "text", out: str = "tokenized") -> DataFrame:
+def tokenize(df: DataFrame, tokenizer: TokenizerProtocol, text: str = "text", out: str = "tokenized") -> DataFrame:
     """df with the tokens of each text; null and blank texts have none."""
     return df.withColumn(out, tokens_column(df.sparkSession, tokenizer)(F.col(text)))
 

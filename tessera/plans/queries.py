@@ -42,7 +42,8 @@ def tokenizer(spark: SparkSession, sf_dir: str):
     """The derived vocabulary as a tokenizer; it is collected once for a session and folder, and has a bounded size."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _made:
-        _made.clear()
+        for old in [k for k in _made if k[-1] != sf_dir or k[-2] != key[0]]:
+            del _made[old]
         _made[key] = V.tokenizer(V.derive(V.word_counts(spark, sf_dir)))
     return _made[key]
 
@@ -141,14 +142,26 @@ def lowercase(spark, sf_dir):
 
 @query("strip_accents", "SELECT doc_id, md5(strip_accents(text)) AS stripped FROM documents")
 def strip_accents(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return T.only_where_needed(docs, "text", "out", T.strip_accents).select("doc_id", F.md5("out").alias("stripped"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_accents(F.col("text"))).alias("stripped"))
 
 
-@query("nfkc")
+# documents hold no compatibility characters, for which NFC is NFKC; nfkc_literals has them
+@query("nfkc", "SELECT doc_id, md5(nfc_normalize(text)) AS normalized FROM documents")
 def nfkc(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return T.only_where_needed(docs, "text", "out", T.nfkc).select("doc_id", F.md5("out").alias("normalized"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.nfkc(F.col("text"))).alias("normalized"))
+
+
+#: Texts and their compatibility compositions.
+_NFKC = (
+    ("plain", "plain"), ("\u2026", "..."), ("\ufb01n", "fin"), ("x\u00b2", "x2"), ("\u00bd", "1\u20442"), ("\uff21\uff22", "AB"), ("e\u0301", "\u00e9"),
+    ("\u212b", "\u00c5"), ("\uff76\uff9e", "\u30ac"), ("\u2460", "1"), ("\u1e9b\u0323", "\u1e69"), ("\u00a0", " "), ("\u2122", "TM"), ("\U0001d400", "A"), ("\u3392", "MHz"),
+)
+
+
+@query("nfkc_literals", f"SELECT * FROM (VALUES {', '.join(f"({i}, '{b}')" for i, (_, b) in enumerate(_NFKC))}) v(k, normalized)")
+def nfkc_literals(spark, sf_dir):
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(_NFKC)], "k int, text string")
+    return rows.select("k", T.nfkc(F.col("text")).alias("normalized"))
 
 
 def _replaces(sql: str) -> str:
@@ -186,9 +199,12 @@ def substring_chars(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.substring_chars(F.col("text"), 5, 20).alias("middle"), F.md5(T.substring_chars(F.col("text"), 10)).alias("rest"))
 
 
-@query("substring_bytes")
+@query("substring_bytes", "SELECT doc_id, substring(text, 4, 9) AS middle, md5(substring(text, 9)) AS rest FROM documents")
 def substring_bytes(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", T.substring_bytes(F.col("text"), 3, 12).alias("middle"), T.substring_bytes(F.col("text"), 8).alias("rest"))
+    """Cut at the bytes where the fourth, the ninth and the thirteenth character begin."""
+    text = F.col("text")
+    at = lambda k: F.octet_length(F.substring(text, 1, k))
+    return read(spark, sf_dir, "documents").select("doc_id", T.substring_bytes(text, at(3), at(12)).alias("middle"), F.md5(T.substring_bytes(text, at(8))).alias("rest"))
 
 
 @query("grapheme_count", "SELECT item_id, CAST(length_grapheme(text) AS INT) AS n_graphemes FROM benchmark")
@@ -421,13 +437,19 @@ def _cut_sql(max_len: int, rem1: str, rem2: str, over: str, stride: int) -> str:
            CAST(CASE WHEN two THEN 4 ELSE 2 END AS INT) AS n_special, CAST(r AS INT) AS n_truncated, CAST(len(over) AS INT) AS n_over, md5(array_to_string(over, ',')) AS over FROM t"""
 
 
-def _digest(encoded: DataFrame) -> DataFrame:
+def _digest(encoded: DataFrame, offsets: bool = False) -> DataFrame:
     join = lambda c: F.md5(F.array_join(F.transform(c, lambda i: i.cast("string")), ","))
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x.cast("int"))
     e = "encoded."
+    place = lambda o: F.coalesce(F.concat(o["begin"].cast("string"), F.lit(":"), o["end"].cast("string")), F.lit("-"))
+    more = [
+        F.md5(F.array_join(F.transform(e + "token_offsets", place), ",")).alias("offsets"), join(F.col(e + "masks")).alias("masks"),
+        F.aggregate(e + "reference_offsets", F.lit(0), lambda a, x: a + F.size(x)).alias("n_refs"),
+    ]
     return encoded.select(
         "k", F.size(e + "token_ids").alias("n_ids"), join(F.col(e + "token_ids")).alias("ids"), total(F.col(e + "segment_ids")).alias("n_second"), total(F.col(e + "special_tokens_mask")).alias("n_special"),
         F.col(e + "num_truncated_tokens").alias("n_truncated"), F.size(e + "overflowing_tokens").alias("n_over"), join(F.col(e + "overflowing_tokens")).alias("over"),
+        *(more if offsets else []),
     )
 
 
@@ -452,6 +474,27 @@ def truncate_longest_first(spark, sf_dir):
     return _encoded(spark, sf_dir, 128, Truncation.LONGEST_FIRST)
 
 
+@query(
+    "encode_offsets",
+    rf"""{_PAIR_TOKENS},
+    c AS (SELECT *, greatest(0, n1 + n2 + o - 128) AS r, n1 - n2 AS d FROM n), f AS (SELECT *, least(r, abs(d)) AS run, r - least(r, abs(d)) AS q FROM c),
+    h AS (SELECT *, CAST({"CASE WHEN two THEN (CASE WHEN d > 0 THEN run ELSE 0 END) + (q + 1) // 2 ELSE r END"} AS BIGINT) AS g1, CAST({"CASE WHEN two THEN (CASE WHEN d < 0 THEN run ELSE 0 END) + q // 2 ELSE 0 END"} AS BIGINT) AS g2 FROM f),
+    z AS (SELECT *, sum(len) OVER w - CASE WHEN regexp_matches(text, '^{WHITESPACE_CLASS}') THEN 0 ELSE 1 END AS e, length(token) = 1 AND regexp_matches(token, '^\p{{P}}$') AS punct,
+                 coalesce(lag(length(token) = 1 AND regexp_matches(token, '^\p{{P}}$')) OVER w, false) AS after FROM toks WINDOW w AS (PARTITION BY k ORDER BY pos)),
+    l AS (SELECT k, list(greatest(e - len, 0) || ':' || greatest(e, 1) ORDER BY pos) AS offs, list(CASE WHEN punct THEN 2 WHEN NOT starts_with(token, '{MARKER}') AND NOT after THEN 6 ELSE 0 END ORDER BY pos) AS ms,
+                 list(len ORDER BY pos) AS ls FROM z GROUP BY k),
+    m AS (SELECT h.k, two, coalesce(x.offs, [])[1:n1 - g1] AS oa, coalesce(y.offs, [])[1:n2 - g2] AS ob, coalesce(x.ms, [])[1:n1 - g1] AS ma, coalesce(y.ms, [])[1:n2 - g2] AS mb,
+                 coalesce(x.ls, [])[1:n1 - g1] AS la, coalesce(y.ls, [])[1:n2 - g2] AS lb FROM h LEFT JOIN l x ON x.k = h.k LEFT JOIN l y ON y.k = h.k + 1 AND two)
+    SELECT k, md5(array_to_string(CASE WHEN two THEN list_concat(list_concat(list_concat(['-'], oa), ['-', '-']), list_concat(ob, ['-'])) ELSE list_concat(list_concat(['-'], oa), ['-']) END, ',')) AS offsets,
+           md5(array_to_string(CASE WHEN two THEN list_concat(list_concat(list_concat([4], ma), [4, 4]), list_concat(mb, [4])) ELSE list_concat(list_concat([4], ma), [4]) END, ',')) AS masks,
+           CAST(coalesce(list_sum(la), 0) + coalesce(list_sum(lb), 0) AS INT) AS n_refs FROM m""",
+)
+def encode_offsets(spark, sf_dir):
+    """Positions, masks and references of pairs cut to 128 ids."""
+    done = E.encode(_pairs(spark, sf_dir), tokenizer(spark, sf_dir), "text", "text2", 128, Truncation.LONGEST_FIRST, on_error="null")
+    return _digest(done, offsets=True).select("k", "offsets", "masks", "n_refs")
+
+
 @query("overflow_stride", _cut_sql(64, _REM1, _REM2, _OVER, 7))
 def overflow_stride(spark, sf_dir):
     return _encoded(spark, sf_dir, 64, Truncation.LONGEST_FIRST, 7)
@@ -512,20 +555,101 @@ def _benchmark_ids(spark, sf_dir) -> DataFrame:
 
 @query("decode", f"{_DECODED} SELECT item_id, '<s> ' || string_agg(token, ' ' ORDER BY pos) || ' </s>' AS text FROM toks GROUP BY item_id")
 def decode(spark, sf_dir):
-    return D.decode(_benchmark_ids(spark, sf_dir), vocab_frame(spark, sf_dir), "<unk>", "item_id")
+    return D.decode(_benchmark_ids(spark, sf_dir), tokenizer(spark, sf_dir).vocab).drop("ids")
 
 
 @query("decode_skip_special", f"{_DECODED} SELECT item_id, {_replaces("string_agg(token, ' ' ORDER BY pos)")} AS text FROM toks GROUP BY item_id")
 def decode_skip_special(spark, sf_dir):
-    return D.decode(_benchmark_ids(spark, sf_dir), vocab_frame(spark, sf_dir), "<unk>", "item_id", skip_special=True, clean_up=True)
+    return D.decode(_benchmark_ids(spark, sf_dir), tokenizer(spark, sf_dir).vocab, skip_special=True, clean_up=True).drop("ids")
 
 
 @query("detokenize", f"SELECT item_id, ' ' || regexp_replace(text, '{WHITESPACE_CLASS}', ' ', 'g') AS text FROM benchmark")
 def detokenize(spark, sf_dir):
-    tokens = D.ids_to_tokens(_benchmark_ids(spark, sf_dir), vocab_frame(spark, sf_dir), "<unk>", "item_id", skip_special=True)
+    tokens = D.ids_to_tokens(_benchmark_ids(spark, sf_dir), tokenizer(spark, sf_dir).vocab, skip_special=True)
     return tokens.select("item_id", D.detokenize(F.col("tokens")).alias("text"))
 
 
+@query("decode_documents", f"SELECT doc_id, md5(CASE WHEN regexp_matches(text, '^{BLANK_CLASS}*$') THEN '' ELSE CASE WHEN regexp_matches(text, '^{WHITESPACE_CLASS}') THEN '' ELSE ' ' END || regexp_replace(text, '{WHITESPACE_CLASS}', ' ', 'g') END) AS text FROM documents")
+def decode_documents(spark, sf_dir):
+    """Whole documents to ids and back."""
+    known = tokenizer(spark, sf_dir)
+    ids = read(spark, sf_dir, "documents").select("doc_id", ids_column(spark, known)("text").alias("ids"))
+    return D.ids_to_tokens(ids, known.vocab).select("doc_id", F.md5(D.detokenize(F.col("tokens"))).alias("text"))
+
+
+@query("array_to_ids", f"WITH {V.VOCAB_SQL}, {ALL_VOCAB}, w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM (SELECT doc_id, {MARKED} AS ws FROM (SELECT doc_id, regexp_replace(text, '{WHITESPACE_CLASS}', '{MARKER}', 'g') AS m FROM documents))) SELECT doc_id, md5(string_agg(CAST(coalesce(id, 3) AS VARCHAR), ',' ORDER BY i)) AS ids FROM w LEFT JOIN allv ON token = word GROUP BY doc_id")
+def array_to_ids(spark, sf_dir):
+    """Each document's marked words as ids of whole words."""
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.where("text is not null").select("doc_id", V.words(docs).alias("tokens"))
+    return L.array_to_ids(rows, tokenizer(spark, sf_dir).vocab).select("doc_id", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids"))
+
+
+# the pre-tokenizer as a tokenizer
+
+
+def basic(spark: SparkSession, sf_dir: str):
+    """The pre-tokenizer with its derived vocabulary; it is collected once for a session and folder, and has a bounded size."""
+    key = ("basic", spark.sparkContext.applicationId, sf_dir)
+    if key not in _made:
+        _made[key] = V.basic_tokenizer(V.basic_vocab(V.basic_counts(spark, sf_dir)))
+    return _made[key]
+
+
+@query("basic_vocab", f"WITH {V.BASIC_SQL} SELECT id, token, c FROM bvocab")
+def basic_vocab(spark, sf_dir):
+    return V.basic_vocab(V.basic_counts(spark, sf_dir))
+
+
+@query("base_encode_documents", f"WITH {V.BASIC_SQL} SELECT doc_id, CAST(count(*) AS INT) AS n_tokens, CAST(count(*) FILTER (WHERE id IS NULL) AS INT) AS n_unknown, md5(string_agg(CAST(coalesce(id, 0) AS VARCHAR), ',' ORDER BY pos)) AS ids FROM btokens LEFT JOIN bvocab USING (token) GROUP BY doc_id")
+def base_encode_documents(spark, sf_dir):
+    ids = ids_column(spark, basic(spark, sf_dir))
+    rows = read(spark, sf_dir, "documents").select("doc_id", ids("text").alias("ids")).where("size(ids) > 0")
+    return rows.select("doc_id", F.size("ids").alias("n_tokens"), F.size(F.filter("ids", lambda i: i == 0)).alias("n_unknown"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids"))
+
+
+_MASKED = "replace(replace(text, ' of ', ' x<mask>of '), ' la ', '. <unk>la<mask> ')"
+
+
+@query(
+    "base_tokenize_specials",
+    rf"""WITH s AS (SELECT item_id, regexp_extract_all({_MASKED}, '[ \t\n\r]+|<mask>|<unk>|\p{{P}}|\p{{Lo}}|[^ 	
+\p{{P}}\p{{Lo}}<]+') AS ts FROM benchmark),
+    e AS (SELECT item_id, unnest(ts) AS t, unnest(range(0, len(ts))) AS i FROM s),
+    o AS (SELECT *, sum(length(t)) OVER (PARTITION BY item_id ORDER BY i) AS e FROM e)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS INT) AS pos, strip_accents(lower(t)) AS token, CAST(e - length(t) AS INT) AS "begin", CAST(e AS INT) AS "end",
+           CASE WHEN regexp_matches(t, '^\p{{Lo}}$') THEN 3 ELSE 0 END AS mask FROM o WHERE NOT regexp_matches(t, '^[ \t\n\r]')""",
+)
+def base_tokenize_specials(spark, sf_dir):
+    """Special tokens next to words: cut out, with positions."""
+    text = F.replace(F.replace("text", F.lit(" of "), F.lit(" x<mask>of ")), F.lit(" la "), F.lit(". <unk>la<mask> "))
+    items = read(spark, sf_dir, "benchmark").select("item_id", tokens_column(spark, basic(spark, sf_dir))(text).alias("t"))
+    return explode_tokens(items, "t", "item_id")
+
+
+_BASE_PAIRS = rf"""WITH {V.BASIC_SQL},
+    src AS (SELECT conv_id * 100 + turn AS k, regexp_extract_all(text, '[ \t\n\r]+|\p{{P}}|\p{{Lo}}|[^ 	
+\p{{P}}\p{{Lo}}]+') AS ts FROM conversations),
+    each AS (SELECT k, unnest(ts) AS t, unnest(range(0, len(ts))) AS i FROM src),
+    placed AS (SELECT *, sum(length(t)) OVER (PARTITION BY k ORDER BY i) AS e FROM each),
+    ids AS (SELECT k, list(coalesce(id, 0) ORDER BY i) AS ids, list((e - length(t)) || ':' || e ORDER BY i) AS offs FROM placed LEFT JOIN bvocab ON token = strip_accents(lower(t)) WHERE NOT regexp_matches(t, '^[ \t\n\r]') GROUP BY k),
+    pr AS (SELECT a.conv_id * 100 + a.turn AS k, coalesce(x.ids, []) AS a, coalesce(y.ids, []) AS b, coalesce(x.offs, []) AS oa, coalesce(y.offs, []) AS ob
+           FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+           LEFT JOIN ids x ON x.k = a.conv_id * 100 + a.turn LEFT JOIN ids y ON y.k = b.conv_id * 100 + b.turn WHERE a.turn % 2 = 0),
+    n AS (SELECT *, len(a) AS n1, len(b) AS n2, greatest(0, len(a) + len(b) - 64) AS r FROM pr),
+    g AS (SELECT *, CASE WHEN n1 < r THEN 0 ELSE r END AS g1, n1 < r AS fail FROM n)
+    SELECT k, CAST(CASE WHEN fail THEN 0 ELSE n1 - g1 + n2 END AS INT) AS n_ids, md5(CASE WHEN fail THEN '' ELSE array_to_string(list_concat(a[1:n1 - g1], b), ',') END) AS ids,
+           md5(CASE WHEN fail THEN '' ELSE array_to_string(list_concat(oa[1:n1 - g1], ob), ',') END) AS offsets,
+           CAST(CASE WHEN fail THEN 0 ELSE n2 END AS INT) AS n_second, CAST(CASE WHEN fail THEN 0 ELSE r END AS INT) AS n_truncated FROM g"""
+
+
+@query("base_encode_pair", _BASE_PAIRS)
+def base_encode_pair(spark, sf_dir):
+    """Pairs of turns cut to 64 tokens from the first, without a template."""
+    done = E.encode(_pairs(spark, sf_dir), basic(spark, sf_dir), "text", "text2", 64, Truncation.ONLY_FIRST, on_error="null")
+    return _digest(done, offsets=True).select("k", "n_ids", "ids", "offsets", "n_second", "n_truncated")
+
+
 # analytics
 
 _DOC_TOKENS = f"WITH RECURSIVE {V.VOCAB_SQL}, {DOC_WORDS}, {V.path_sql('words')}, dt AS (SELECT d.doc_id, d.lang, substring(p.word, st + 1, en - st) AS token, idx FROM dw JOIN documents d USING (doc_id) JOIN path p USING (word))"

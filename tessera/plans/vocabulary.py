@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.charclass import MARKER, WHITESPACE_CLASS
+from ..functions.text import SPACES
+from ..operators.basic import BasicTokenizer
 from ..operators.kernel import Pieces, Tokenizer
+from ..operators.pretokenize import basic_tokenize
 from ..operators.segment import marked_words
 from ..operators.spread import spread
 from ..sources.vocab import SpecialTokens, Vocab
@@ -33,7 +36,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(df: DataFrame, text: str = "text"):
     """The marked words of a text column, white space being a marker each."""
-    return marked_words(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITESPACE_CLASS, " "))
+    return marked_words(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, " " * len(SPACES)))
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +68,41 @@ def tokenizer(pieces: DataFrame) -> Tokenizer:
     return Tokenizer(Vocab(values, SPECIALS), Pieces([("<unk>", 0.0), ("<s>", 0.0), ("</s>", 0.0), *[(r.piece, r.score) for r in rows]]))
 
 
+#: Words of the pre-tokenizer's vocabulary, and its special tokens, which have the first ids.
+BASIC_SIZE = 3000
+BASIC_SPECIALS = SpecialTokens(unk="<unk>", pad="<pad>", bos="<s>", sep="</s>", cls="<s>", eos="</s>", mask="<mask>")
+
+
+def basic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, c) of the pre-tokenizer over documents, in lower case without accents."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = docs.select(F.explode(basic_tokenize(F.col("text"), lower=True, strip=True)).alias("t"))
+    return found.groupBy(F.col("t.text").alias("token")).agg(F.count("*").alias("c"))
+
+
+def basic_vocab(counts: DataFrame) -> DataFrame:
+    """(id, token, c): the BASIC_SIZE commonest tokens after the special ones."""
+    best = counts.orderBy(F.desc("c"), "token").limit(BASIC_SIZE)
+    rank = F.row_number().over(Window.orderBy(F.desc("c"), "token"))
+    return best.select((rank + 4).cast("bigint").alias("id"), "token", "c")
+
+
+def basic_tokenizer(vocab: DataFrame) -> BasicTokenizer:
+    """The vocabulary, a bounded number of rows, as a tokenizer."""
+    values = {t: i for i, t in enumerate(("<unk>", "<pad>", "<s>", "</s>", "<mask>"))}
+    values |= {r.token: r.id for r in vocab.select("id", "token").collect()}
+    return BasicTokenizer(Vocab(values, BASIC_SPECIALS), lowercase=True, strip_accents=True)
+
+
+#: The same in SQL: bvocab (id, token, c).
+BASIC_TOKENS = r"regexp_extract_all(text, '\p{P}|\p{Lo}|[^ \t\n\r\p{P}\p{Lo}]+')"
+BASIC_SQL = rf"""
+btokens AS (SELECT doc_id, strip_accents(lower(unnest(ts))) AS token, unnest(range(0, len(ts))) AS pos FROM (SELECT doc_id, {BASIC_TOKENS} AS ts FROM documents)),
+bvocab AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY c DESC, token) + 4 AS BIGINT) AS id, token, c
+                        FROM (SELECT token, count(*) AS c FROM btokens GROUP BY token ORDER BY c DESC, token LIMIT {BASIC_SIZE}))
+"""
+
+
 #: The same in SQL: wc (word, c) and vocab (id, piece, score, idx, c).
 VOCAB_SQL = rf"""
 texts AS (SELECT text FROM documents UNION ALL SELECT text FROM benchmark UNION ALL SELECT text FROM conversations),

@@ -149,8 +149,8 @@ class Vocab:
     def special_tokens(self) -> list[str]:
         return list(self.special_values)
 
-    def default(self, name: str) -> str:
-        """A special token, or its usual form where none is set."""
+    def default(self, name: str) -> str | None:
+        """A special token by its role, or its usual form where none is set; the unknown token has none."""
         usual = {"pad": "<pad>", "bos": "<s>", "sep": "</s>", "cls": "<s>", "eos": "</s>", "mask": "<mask>"}
         return getattr(self.specials, name) or usual.get(name)
 

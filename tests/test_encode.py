@@ -78,9 +78,10 @@ def test_errors_are_raised(spark):
 def test_decoding(spark):
     vocab = Vocab({"<s>": 0, "</s>": 1, "<unk>": 2, "▁hello": 3, "▁world": 4, "!": 5}, SpecialTokens(unk="<unk>", cls="<s>", eos="</s>"))
     rows = spark.createDataFrame([(0, [0, 3, 4, 5, 1]), (1, [99]), (2, []), (3, None)], "k int, ids array<bigint>")
-    frame = vocab.frame(spark)
-    get = lambda **o: {r.k: r.text for r in D.decode(rows, frame, "<unk>", "k", **o).collect()}
+    get = lambda **o: {r.k: r.text for r in D.decode(rows, vocab, **o).collect()}
     assert get() == {0: "<s> ▁hello ▁world ! </s>", 1: "<unk>", 2: "", 3: ""}
     assert get(skip_special=True, clean_up=True)[0] == "▁hello ▁world!"
-    tokens = D.ids_to_tokens(rows, frame, "<unk>", "k", skip_special=True)
+    tokens = D.ids_to_tokens(rows, vocab, skip_special=True)
+    again = spark.createDataFrame([(0, [None, 3, 99, 0]), (0, [4])], "k int, ids array<bigint>")  # repeated keys stay apart
+    assert sorted(r.tokens for r in D.ids_to_tokens(again, vocab).collect()) == [["<unk>", "▁hello", "<unk>", "<s>"], ["▁world"]]
     assert {r.k: r.t for r in tokens.select("k", D.detokenize(F.col("tokens")).alias("t")).collect()}[0] == " hello world!"

@@ -17,7 +17,7 @@ def test_queries_have_sql_or_are_known():
 
     own = queries.queries()
     assert set(queries.oracle_sql()) <= set(own) <= set(entry.queries())
-    assert set(own) - set(queries.oracle_sql()) == {"nfkc", "substring_bytes"}
+    assert set(own) == set(queries.oracle_sql())
 
 
 def test_import_without_the_optional_subpackage(tmp_path):

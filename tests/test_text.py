@@ -26,13 +26,15 @@ def test_normalization(spark):
     assert one(spark, "``x''​", T.clean_word) == '"x"'
     assert one(spark, "it 's . do not ! we 've", T.clean_up_tokenization) == "it's. don't! we've"
     df = spark.createDataFrame([(1, "a"), (2, "é"), (3, None)], "k int, t string")
-    assert {r.k: r.o for r in T.only_where_needed(df, "t", "o", T.strip_accents).collect()} == {1: "a", 2: "e", 3: None}
+    assert {r.k: r.o for r in df.select("k", T.strip_accents(F.col("t")).alias("o")).collect()} == {1: "a", 2: "e", 3: None}
+    assert {r.k: r.o for r in df.where("k <> 2").select("k", T.nfkc(F.col("t")).alias("o")).collect()} == {1: "a", 3: None}
 
 
 def test_positions(spark):
     for text in ("…", "tokénized", " 🤔 ?", ""):
         got = [x["index"] for x in one(spark, text, T.char_byte_offsets)]
         assert got == [len(text[:i].encode()) for i in range(len(text))]
+    assert one(spark, "aébc", lambda c: T.substring_bytes(c, 2, 4)) == "�b" and one(spark, "aé", lambda c: T.substring_bytes(c, 9, 4)) == ""
     assert one(spark, "aébc", lambda c: T.substring_bytes(c, 1, 3)) == "é" and one(spark, "aébc", lambda c: T.substring_bytes(c, 3)) == "bc"
     assert one(spark, "a🤔bc", lambda c: T.substring_chars(c, 1, 2)) == "🤔b"
     assert one(spark, "é🤔", T.grapheme_count) == 2
@@ -52,9 +54,3 @@ def test_special_split(spark):
     assert split("é \t<m> b") == [("é", 0), ("<m>", 4), (" b", 0)]
     assert split("<u><m>x") == [("<u>", 8), ("<m>", 4), ("x", 0)]
     assert split("a ") == [("a ", 0)] and split("") == []
-
-
-def test_byte_symbols(spark):
-    text = "a b\té🤔\n\x01"
-    found = one(spark, text, T.bytes_to_symbols)
-    assert found == "aĠbĉÃ©ðŁ¤ĶĊā" and one(spark, found, T.symbols_to_bytes) == text

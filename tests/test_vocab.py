@@ -4,6 +4,9 @@ import json
 
 import pytest
 
+from tessera.operators.basic import BasicTokenizer
+from tessera.operators.kernel import Pieces, Tokenizer
+from tessera.protocols import TokenizerProtocol, VocabProtocol
 from tessera import errors
 from tessera.operators import lookup as L
 from tessera.sources import protowire as W
@@ -70,6 +73,27 @@ def test_model_file(tmp_path):
         W.parse_model(W.encode_model(pieces)[:-3] + b"\x0a\xff")
 
 
+def test_model_file_with_mapped_specials(tmp_path):
+    """Special tokens that the map leaves out are not put in; one that is no piece and not put in cannot be registered."""
+    pieces = [W.Piece("<unk>"), W.Piece("<s>"), W.Piece("</s>"), W.Piece("▁a", -1.5), W.Piece("[X]", -2.0)]
+    model, mapped = tmp_path / "m", tmp_path / "s.json"
+    model.write_bytes(W.encode_model(pieces))
+    mapped.write_text('{"UnkToken": "[U]", "ClsToken": "[C]", "EosToken": "[E]", "AdditionalSpecialTokens": ["[X]"]}')
+    v = Vocab.from_sentencepiece(str(model), SpecialTokens.from_json(str(mapped)))
+    assert v.values == {"[C]": 0, "[E]": 1, "[U]": 2, "▁a": 3, "[X]": 4} and v.special_tokens() == ["[U]", "[C]", "[E]", "[X]"]
+    t = Tokenizer.from_file(str(model), specials=str(mapped))
+    assert t.ids("a[X] zz") == [3, 4, 2] and t.vocab.default("pad") == "<pad>"
+    mapped.write_text('{"UnkToken": "[U]", "BosToken": "[B]"}')
+    with pytest.raises(errors.TokenNotFound):
+        Vocab.from_sentencepiece(str(model), SpecialTokens.from_json(str(mapped)))
+
+
+def test_protocols():
+    v = Vocab({"[UNK]": 0, "a": 1}, SpecialTokens())
+    assert isinstance(v, VocabProtocol) and isinstance(BasicTokenizer(v), TokenizerProtocol)
+    assert isinstance(Tokenizer(v, Pieces([("[UNK]", 0.0)])), TokenizerProtocol) and not isinstance(object(), TokenizerProtocol)
+
+
 def test_joins(spark):
     v = Vocab({"[UNK]": 0, "a": 1, "b": 2}, SpecialTokens())
     frame = v.frame(spark)
@@ -77,8 +101,8 @@ def test_joins(spark):
     assert sorted(((r.token or ""), r.id) for r in L.token_to_id(rows, frame, 0).collect()) == [("", 0), ("a", 1), ("zz", 0)]
     ids = spark.createDataFrame([(2,), (77,)], "id bigint")
     assert sorted(r.token for r in L.id_to_token(ids, frame, "[UNK]").collect()) == ["[UNK]", "b"]
-    arrays = spark.createDataFrame([(0, ["b", "a", "x"]), (1, []), (2, None)], "k int, tokens array<string>")
-    assert {r.k: r.ids for r in L.array_to_ids(arrays, frame, 0, "k").collect()} == {0: [2, 1, 0], 1: [], 2: []}
+    arrays = spark.createDataFrame([(0, ["b", "a", "x", None]), (1, []), (2, None)], "k int, tokens array<string>")
+    assert {r.k: r.ids for r in L.array_to_ids(arrays, v).collect()} == {0: [2, 1, 0, 0], 1: [], 2: []}
     new = spark.createDataFrame([("c", 2), ("b", 1), ("d", 1), ("c", 0)], "token string, ord int")
     assert {r.token: r.id for r in L.add_tokens(frame, new).collect()} == {"[UNK]": 0, "a": 1, "b": 2, "c": 3, "d": 4}
     assert L.add_extra_ids(frame, 3).count() == 6 and L.special_tokens(frame).count() == 1
