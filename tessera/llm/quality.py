@@ -135,6 +135,11 @@ def query(docs: DataFrame) -> DataFrame:
     )
 
 
+def ablation_query(docs: DataFrame) -> DataFrame:
+    """The ablation of all policies over a table of documents."""
+    return ablation(ledger(docs.select("doc_id", "text")))
+
+
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -155,3 +160,10 @@ b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept,
        n_lines, n_upper, fail_bits FROM b
 """
+
+_CASES = ", ".join(f"('{v}', {mask}, '{name}', {BIT[name]})" for v, mask in POLICIES.items() for name in RULES if mask & BIT[name])
+ABLATION_SQL = f"""{SQL[: SQL.rindex("SELECT doc_id")]}
+SELECT policy, rule, CAST(count(*) FILTER (WHERE fail_bits & bit <> 0) AS BIGINT) AS fails, CAST(count(*) FILTER (WHERE fail_bits & mask = bit) AS BIGINT) AS only_this,
+       CAST(count(*) FILTER (WHERE fail_bits & mask & ~bit <> 0) AS BIGINT) AS rejected_without
+FROM b, (VALUES {_CASES}) c(policy, mask, rule, bit) GROUP BY policy, rule
+"""

@@ -12,6 +12,7 @@ def queries() -> dict:
     python = lambda f, name="documents": lambda spark, sf_dir: f(spread(table(spark, sf_dir, name)))
     return {
         "op1_quality_rules": docs(quality.query),
+        "quality_ablation": docs(quality.ablation_query),
         "op2_line_dedup": python(linededup.query),
         "op3_sharding": docs(sharding.query),
         "op4_packing": python(packing.query),
@@ -25,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality.SQL, "op5_chat_formatting": chat.SQL, "op6_ngram_join": ngramjoin.SQL}
+    return {"op1_quality_rules": quality.SQL, "quality_ablation": quality.ABLATION_SQL, "op5_chat_formatting": chat.SQL, "op6_ngram_join": ngramjoin.SQL}

@@ -44,3 +44,26 @@ def test_edges(spark):
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(r.row.text)
     assert Q.keep(docs).columns == docs.columns and Q.query(edge.empty(spark)).count() == 0
+
+
+def test_every_rule_rejects_something_by_itself(spark):
+    """A planted text for each rule that fails it and no other, and the ablation that says so."""
+    rnd = random.Random(4)
+    word = lambda n=6: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    words = lambda k, n=6: " ".join(word(n) for _ in range(k))
+    planted = {
+        "few_words": words(10),
+        "repeated_windows": " ".join([words(20)] * 5),
+        "symbols": words(80) + " " + "### $$$ %%% &&&",
+        "repeated_lines": "\n".join(f"x\nx\n{words(12)}" for _ in range(9)),
+        "short_words": " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80)),
+        "long_words": words(60, 20),
+        "capitals": words(80).upper(),
+    }
+    assert set(planted) == set(Q.RULES)
+    rows = [(i, t) for i, t in enumerate(planted.values())] + [(100, words(90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.fail_bits for r in Q.query(docs).collect()}
+    assert got == {i: Q.BIT[name] for i, name in enumerate(planted)} | {100: 0}
+    found = {(r.policy, r.rule): (r.fails, r.only_this, r.rejected_without) for r in Q.ablation_query(docs).collect()}
+    assert all(found["v2", name] == (1, 1, len(planted) - 1) for name in planted) and found["v1", "few_words"] == (1, 1, 1)
