@@ -3,6 +3,7 @@
 from tessera.operators.kernel import Pieces, Tokenizer
 from tessera.sources.vocab import SpecialTokens, Vocab
 
+# Ids of the pieces in the known encodings.
 PIECES = {
     6: "▁", 7: "s", 10: "▁a", 38: "!", 47: "▁to", 83: "▁is", 153: "▁...", 170: "j", 186: "▁be", 214: "ing", 345: "▁U",
     705: "▁?", 903: "▁this", 1098: "ken", 1221: "▁will", 1274: "▁hi", 2046: "▁get", 2746: "én", 3293: "▁This",

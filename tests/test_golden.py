@@ -6,6 +6,7 @@ from mini import tokenizer
 from tessera.operators import encode as E
 from tessera.schema import Truncation
 
+# Known texts, ids and positions, which must match.
 GOLDEN = [
     ("…", [0, 153, 2], [(0, 1)]),
     ("This is a sample sentence to be tokénized", [0, 3293, 83, 10, 121413, 149357, 47, 186, 25636, 2746, 29367, 2], [(0, 4), (4, 7), (7, 9), (9, 16), (16, 25), (25, 28), (28, 31), (31, 35), (35, 38), (38, 42)]),
