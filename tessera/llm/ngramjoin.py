@@ -41,10 +41,12 @@ BUCKETS = 1 << 16
 #: Tokens in the prefixes of at least HOT_DOCS documents are put last, the commonest at the very end; the broadcast holds at most HOT of them.
 HOT = 1 << 18
 HOT_DOCS = 32
+#: Ids of so many documents are broadcast.
+FEW = 200_000
 #: More nodes than that at one token and size class are compared under their own order.
 CROWD = 64
 #: Rounds in which the nodes of a crowd are verified against leaders.
-ROUNDS = 3
+ROUNDS = 2
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
@@ -146,10 +148,15 @@ def ordered_index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 def sets_of(docs: DataFrame, idx: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(g, s), written: the sets of the nodes, made again from the text of one document each.
 
-    A bit set of the documents' ids spares the others; a join removes what passes by chance.
+    Few documents are picked by a broadcast of their ids, whose number is checked; else a bit set of the ids spares the others, and a join
+    removes what passes by chance.
     """
     ids = cut(idx.where("id is not null").join(nodes, "g", "left_semi").groupBy("g").agg(F.min("id").alias("id")).select(F.xxhash64("id").alias("k")).distinct())
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "k"))
+    rows = docs.where("id is not null").select(F.xxhash64("id").alias("k"), "text")
+    few = ids.count() <= FEW
+    if few:
+        rows = rows.join(F.broadcast(ids), "k", "left_semi")
+    wanted = docs.sparkSession.sparkContext.broadcast(None if few else bit_filter(ids, "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,8 +167,7 @@ def sets_of(docs: DataFrame, idx: DataFrame, nodes: DataFrame, n: int) -> DataFr
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([_node(mix(s ^ _OTHER)) for s in found], pa.int64()), lists], names=["g", "s"])
 
-    passed = docs.where("id is not null").select(F.xxhash64("id").alias("k"), "text").mapInArrow(run, "g long, s array<long>")
-    out = cut(passed.join(nodes, "g", "left_semi").groupBy("g").agg(F.first("s").alias("s")))
+    out = cut(rows.mapInArrow(run, "g long, s array<long>").join(nodes, "g", "left_semi").groupBy("g").agg(F.first("s").alias("s")))
     wanted.destroy()
     drop(ids)
     return out
@@ -285,25 +291,28 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
     votes = led.groupBy("g", "size", "lead", "lsize").agg(F.count("*").alias("c")).where(enough(F.col("c"), F.col("size"), F.col("lsize"), num, den))
     links = linked(cut(votes.groupBy("g").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("a")).select("a", F.col("g").alias("b"))))
 
-    def placed(rows: DataFrame) -> DataFrame:
-        now = components(links).select(F.col("id").alias("g"), F.col("component_id").alias("c"))
+    def members() -> DataFrame:
+        return components(links).select(F.col("id").alias("g"), F.col("component_id").alias("c"))
+
+    def placed(rows: DataFrame, now: DataFrame) -> DataFrame:
         return cut(mixed(shown(rows.join(apart(now), "g", "left").withColumn("c", F.coalesce("c", "g")), num, den)))
 
-    several = placed(shared)
+    now = members()
+    several = placed(shared, now)
     drop(shared)
     near = met(several.where(F.col("n") <= CROWD), num, den)
     crowds = several.where(F.col("n") > CROWD).select("g").distinct()
     if not crowds.isEmpty():
         sets = sets_of(docs, idx, crowds, n)
         ranked = cut(by_rarity(sets, num, den))
-        crowded = placed(ranked)
+        crowded = placed(ranked, now)
         for _ in range(ROUNDS):
             found = linked(cut(leaders(crowded, num, den)))
             if found.isEmpty():
                 break
             links = links.unionByName(found)
             drop(crowded)
-            crowded = placed(ranked)
+            crowded = placed(ranked, members())
         near = cut(near.unionByName(met(crowded, num, den)).distinct())
         drop(sets, ranked, crowded)
     else:
@@ -328,11 +337,13 @@ def query(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group, the one with the smallest id; documents without words or alone stay. Of rows that agree in id, null or not, and text, one stays."""
     idx, comps = groups(docs, n=n, num=num, den=den)
-    gone = idx.where("id is not null and size > 0").join(apart(comps), "g").where("id <> component_id").select("id").distinct()
+    few = lambda ids: F.broadcast(ids) if ids.count() <= FEW else ids
+    gone = few(cut(idx.where("id is not null and size > 0").join(apart(comps), "g").where("id <> component_id").select("id").distinct()))
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["id"], "left_anti")
-    repeated = idx.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    repeated = cut(idx.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     if repeated.isEmpty():
         return left
+    repeated = few(repeated)
     again = left["doc_id"].cast("long").eqNullSafe(repeated["id"])
     return left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
