@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import langid, linededup, ngramjoin, packing, quality
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, drop, table
 from tessera.operators.spread import spread
 
 
@@ -46,16 +46,19 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Language models, hashing and tokenizers are not SQL; tests hold each stage against a brute-force version.
+#: Language models, hashing and subword ids are not SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs, before = spread(table(spark, sf_dir, "documents")), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
+            if before is not None:
+                drop(before)
+            before = docs
     return docs
 
 
