@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import TokenizerError, TokenNotFound
 from ..functions import text as T
 from ..functions.charclass import BLANK_CLASS, CONTROL_CLASS, CONTROL_LAX_CLASS, DROPPED_CLASS, MARKER, WHITESPACE_CLASS
 from ..operators import decode as D
 from ..operators import encode as E
+from ..operators import kernel
 from ..operators import lookup as L
 from ..operators import pretokenize as P
 from ..operators import segment as S
+from ..operators.kernel import Tokenizer
 from ..operators.spread import spread
 from ..operators.tokenize import explode_tokens, ids_column, mask_name, token_ids_column, tokens_column
 from ..schema import Truncation
+from ..sources import protowire as W
+from ..sources.vocab import SpecialTokens, Vocab
 from . import vocabulary as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,6 +547,12 @@ def encode_single(spark, sf_dir):
     return each.select("item_id", "pos", F.col("x.token_ids").alias("id"), F.col("x.segment_ids").cast("int").alias("segment"), F.col("x.special_tokens_mask").cast("int").alias("special"))
 
 
+@query("do_not_truncate", f"{_PAIR_TOKENS}, c AS (SELECT *, greatest(0, n1 + n2 + o - 160) AS r FROM n) SELECT k, CAST(CASE WHEN r = 0 THEN n1 + n2 + o ELSE 0 END AS INT) AS n_ids, CASE WHEN r = 0 THEN NULL WHEN NOT two AND n1 < r THEN 'Value error: First sequence too short for first only truncation' ELSE 'Value error: Truncation needed but no truncation requested' END AS error FROM c")
+def do_not_truncate(spark, sf_dir):
+    done = E.encode(_pairs(spark, sf_dir), tokenizer(spark, sf_dir), "text", "text2", 160, Truncation.DO_NOT_TRUNCATE, on_error="null")
+    return done.select("k", F.size("encoded.token_ids").alias("n_ids"), F.col("encoded.error").alias("error"))
+
+
 @query("encode_base", f"{_PAIR_TOKENS} SELECT k, CAST(n1 + n2 AS INT) AS n_ids, md5(array_to_string(list_concat(a, b), ',')) AS ids, CAST(n2 AS INT) AS n_second, 0 AS n_special, 0 AS n_truncated, 0 AS n_over, md5('') AS over FROM n")
 def encode_base(spark, sf_dir):
     return _digest(E.encode(_pairs(spark, sf_dir), tokenizer(spark, sf_dir), "text", "text2", 1_000_000, on_error="null", template=E.Template()))
@@ -585,6 +600,118 @@ def array_to_ids(spark, sf_dir):
     return L.array_to_ids(rows, tokenizer(spark, sf_dir).vocab).select("doc_id", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids"))
 
 
+# files
+
+
+def _model_file(known, path: str) -> None:
+    """The derived pieces as a SentencePiece model file."""
+    found = sorted((hit[1], t, hit[0]) for t, hit in known.pieces.table.items() if hit)
+    kinds = {0: W.UNKNOWN, 1: W.CONTROL, 2: W.CONTROL}
+    with open(path, "wb") as f:
+        f.write(W.encode_model([W.Piece(t, score, kinds.get(i, W.NORMAL)) for i, t, score in found]))
+
+
+_LAYOUTS = """
+    SELECT 'flat' AS reader, CAST(id - 4 AS BIGINT) AS id, piece AS token, false AS is_special FROM vocab WHERE id > 4 UNION ALL SELECT 'flat', 0, piece, true FROM vocab WHERE id = 4
+    UNION ALL SELECT 'json', CAST(id * 3 AS BIGINT), token, token = '<unk>' FROM allv
+    UNION ALL SELECT 'pieces', CAST(id - 1 AS BIGINT), piece, false FROM vocab UNION ALL SELECT * FROM (VALUES ('pieces', 0, '<unk>', true), ('pieces', 1, '<s>', false), ('pieces', 2, '</s>', false)) v
+    UNION ALL SELECT 'pair', CAST(id AS BIGINT), token, is_special FROM allv
+    UNION ALL SELECT 'mapped', CAST(id - 1 AS BIGINT), piece, false FROM vocab UNION ALL SELECT * FROM (VALUES ('mapped', 0, '[C]', true), ('mapped', 1, '[E]', true), ('mapped', 2, '[U]', true)) v"""
+
+
+@query("vocab_readers", f"WITH {V.VOCAB_SQL}, {ALL_VOCAB} {_LAYOUTS}")
+def vocab_readers(spark, sf_dir):
+    """The derived vocabulary written to files of each kind on the driver and read back: flat, JSON, model file, and its two layouts."""
+    known = tokenizer(spark, sf_dir)
+    pieces = [t for _, t in sorted((hit[1], t) for t, hit in known.pieces.table.items() if hit and hit[1] >= 3)]
+    with tempfile.TemporaryDirectory() as at:
+        files = {k: os.path.join(at, k) for k in ("flat", "json", "model", "map", "unk")}
+        with open(files["flat"], "w", encoding="utf-8") as f:
+            f.write("".join(f"{t}\n" for t in pieces))
+        with open(files["json"], "w", encoding="utf-8") as f:
+            json.dump({t: 3 * i for t, i in known.vocab.values.items()}, f)
+        _model_file(known, files["model"])
+        with open(files["map"], "w", encoding="utf-8") as f:
+            json.dump({"UnkToken": "[U]", "ClsToken": "[C]", "EosToken": "[E]"}, f)
+        with open(files["unk"], "w", encoding="utf-8") as f:
+            json.dump({"UnkToken": pieces[0]}, f)
+        read = {
+            "flat": Vocab.from_flat_file(files["flat"], SpecialTokens.from_json(files["unk"])),
+            "json": Vocab.from_json(files["json"], SpecialTokens(unk="<unk>")),
+            "pieces": Vocab.from_pieces(W.read_model(files["model"]).pieces),
+            "pair": Tokenizer.from_file(files["model"]).vocab,
+            "mapped": Tokenizer.from_file(files["model"], specials=files["map"]).vocab,
+        }
+    out = None
+    for name, vocab in read.items():
+        one = vocab.frame(spark).select(F.lit(name).alias("reader"), "id", "token", "is_special")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("segment_model_file", f"WITH RECURSIVE {V.VOCAB_SQL}, {text_tokens_sql('benchmark', 'item_id')} SELECT item_id, CAST(count(*) AS INT) AS n, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos)) AS ids FROM toks GROUP BY item_id")
+def segment_model_file(spark, sf_dir):
+    """Texts segmented by a tokenizer that was loaded from a model file."""
+    with tempfile.TemporaryDirectory() as at:
+        _model_file(tokenizer(spark, sf_dir), os.path.join(at, "model"))
+        loaded = Tokenizer.from_file(os.path.join(at, "model"))
+    rows = read(spark, sf_dir, "benchmark").select("item_id", ids_column(spark, loaded)("text").alias("ids"))
+    return rows.select("item_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids"))
+
+
+_LOWER = "(SELECT item_id, lower(text) AS text FROM benchmark) lowered"
+
+
+@query(
+    "tokenize_lowercase",
+    f"""WITH RECURSIVE {V.VOCAB_SQL}, {text_tokens_sql(_LOWER, 'item_id')},
+    o AS (SELECT *, sum(len) OVER (PARTITION BY item_id ORDER BY pos) - CASE WHEN regexp_matches(text, '^{WHITESPACE_CLASS}') THEN 0 ELSE 1 END AS e FROM toks)
+    SELECT item_id, CAST(pos AS INT) AS pos, token, CAST(greatest(e - len, 0) AS INT) AS "begin", CAST(greatest(e, 1) AS INT) AS "end" FROM o""",
+)
+def tokenize_lowercase(spark, sf_dir):
+    """Lower-cased texts with the positions of the texts as they are."""
+    known = tokenizer(spark, sf_dir)
+    lowered = Tokenizer(known.vocab, known.pieces, lowercase=True)
+    items = read(spark, sf_dir, "benchmark").select("item_id", tokens_column(spark, lowered)("text").alias("t"))
+    return explode_tokens(items, "t", "item_id").drop("mask")
+
+
+#: Texts, their compositions, and the positions of their characters: expansions share the first, compositions span what they were made of.
+_PLACES = (("ab", "ab", "0 1"), ("\u2026", "...", "0 0 0"), ("e\u0301n", "\u00e9n", "0 2"), ("\ufb01n", "fin", "0 1 1"), ("toke\u0301n", "tok\u00e9n", "0 1 2 3 5"))
+
+
+@query("nfkc_offsets", f"SELECT * FROM (VALUES {', '.join(f"({i}, '{b}', '{c}')" for i, (_, b, c) in enumerate(_PLACES))}) v(k, normalized, places)")
+def nfkc_offsets(spark, sf_dir):
+    rows = spark.createDataFrame([(i, a) for i, (a, _, _) in enumerate(_PLACES)], "k int, text string")
+
+    def run(batches):
+        for b in batches:
+            found = [kernel.nfkc(t, list(range(len(t)))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([" ".join(map(str, r)) for _, r in found], pa.string())], names=["k", "normalized", "places"])
+
+    return rows.mapInArrow(run, "k int, normalized string, places string")
+
+
+@query("load_errors", "SELECT * FROM (VALUES ('file', 'File not found error: no-such-file'), ('token', 'Token not found in vocabulary: Unknown token [UNK] not found'), ('value', 'Value error: lengths cannot be negative'), ('base', 'TokenizerError')) v(kind, message)")
+def load_errors(spark, sf_dir):
+    """What missing files, missing special tokens and bad arguments say."""
+
+    def said(f) -> str:
+        try:
+            f()
+        except TokenizerError as e:
+            return str(e)
+        return ""
+
+    rows = [
+        ("file", said(lambda: Vocab.from_flat_file("no-such-file"))),
+        ("token", said(lambda: Vocab({"a": 0}, SpecialTokens()))),
+        ("value", said(lambda: E.encode(spark.range(1), None, max_len=-1))),
+        ("base", TokenNotFound.__mro__[1].__name__),
+    ]
+    return spark.createDataFrame(rows, "kind string, message string")
+
+
 # the pre-tokenizer as a tokenizer
 
 
@@ -614,7 +741,8 @@ _MASKED = "replace(replace(text, ' of ', ' x<mask>of '), ' la ', '. <unk>la<mask
 @query(
     "base_tokenize_specials",
     rf"""WITH s AS (SELECT item_id, regexp_extract_all({_MASKED}, '[ \t\n\r]+|<mask>|<unk>|\p{{P}}|\p{{Lo}}|[^ 	
-\p{{P}}\p{{Lo}}<]+') AS ts FROM benchmark),
+
+\p{{P}}\p{{Lo}}<]+') AS ts FROM benchmark),
     e AS (SELECT item_id, unnest(ts) AS t, unnest(range(0, len(ts))) AS i FROM s),
     o AS (SELECT *, sum(length(t)) OVER (PARTITION BY item_id ORDER BY i) AS e FROM e)
     SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS INT) AS pos, strip_accents(lower(t)) AS token, CAST(e - length(t) AS INT) AS "begin", CAST(e AS INT) AS "end",
@@ -629,7 +757,8 @@ def base_tokenize_specials(spark, sf_dir):
 
 _BASE_PAIRS = rf"""WITH {V.BASIC_SQL},
     src AS (SELECT conv_id * 100 + turn AS k, regexp_extract_all(text, '[ \t\n\r]+|\p{{P}}|\p{{Lo}}|[^ 	
-\p{{P}}\p{{Lo}}]+') AS ts FROM conversations),
+
+\p{{P}}\p{{Lo}}]+') AS ts FROM conversations),
     each AS (SELECT k, unnest(ts) AS t, unnest(range(0, len(ts))) AS i FROM src),
     placed AS (SELECT *, sum(length(t)) OVER (PARTITION BY k ORDER BY i) AS e FROM each),
     ids AS (SELECT k, list(coalesce(id, 0) ORDER BY i) AS ids, list((e - length(t)) || ':' || e ORDER BY i) AS offs FROM placed LEFT JOIN bvocab ON token = strip_accents(lower(t)) WHERE NOT regexp_matches(t, '^[ \t\n\r]') GROUP BY k),

@@ -49,6 +49,7 @@ def found(spark, docs, n, num):
     return {r.id: (r.size, r.component_id if r.component_id is not None else r.id) for r in idx.join(comps, "g", "left").collect()}
 
 
+@pytest.mark.usefixtures("small_plans")
 @pytest.mark.parametrize(("seed", "n", "num", "crowd"), [(1, 3, 90, 64), (2, 5, 80, 1), (3, 3, 50, 2), (4, 3, 100, 1)])
 def test_components_against_brute_force(spark, monkeypatch, seed, n, num, crowd):
     """With a small CROWD the nodes of nearly every shared token are compared under their own order."""
@@ -57,6 +58,7 @@ def test_components_against_brute_force(spark, monkeypatch, seed, n, num, crowd)
     assert found(spark, docs, n, num) == brute(docs, n, num, 100)
 
 
+@pytest.mark.usefixtures("small_plans")
 def test_pairs_of_a_crowd_are_not_listed(spark):
     """Near copies that differ too much to be linked: their first tokens are their own, so hardly any meet."""
     rnd = random.Random(5)
@@ -82,6 +84,7 @@ def test_repeated_ids_are_one_document(spark):
     assert got == {(1, 1), (5, 1), (7, 1), (9, 9)}
 
 
+@pytest.mark.usefixtures("small_plans")
 def test_hot_tokens_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(J, "HOT_DOCS", 2)
     monkeypatch.setattr(J, "HOT", 50)
