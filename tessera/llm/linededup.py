@@ -11,10 +11,10 @@ place of both; the join on the variants' hashes keeps the place. Nothing is pair
 meets the earliest one there, by a minimum that is combined before the shuffle, and the edit distance of the two is then verified on their
 words.
 
-Variants are only made for lines that can have a partner. If two lines differ by one edit, they share their
-first or their last k words, k being the largest power of two with 2k at most the shorter length; so a line
-goes on only if another, different line has the same first or last words, and a variant only if another line has it.
-Both tests are exact aggregations; bit sets, as large as the keys need, carry their results back to the texts, and what
+Variants of long lines are only made where there can be a partner. If two lines differ by one edit, they share their
+first or their last k words, k being the largest power of two with 2k at most the shorter length; so a line of more than ``SHORT`` words
+goes on only if another, different line has the same first or last words. In shorter ones these would be two words, which lines share by
+chance the more often the more there are; they have few variants and all go on. A variant goes on only if another line has it. Both tests are exact aggregations; bit sets, as large as the keys need, carry their results back to the texts, and what
 passes them by chance changes nothing. Where the keys are too many for a broadcast, joins do it.
 
 Line hashes have 96 bits. Null texts have no lines and stay null; empty tables give empty results; rows with a
@@ -36,6 +36,8 @@ from .hashing import mix, text_words
 
 LEAST = 1
 NEAR = 5
+#: Lines of at most so many words have all their variants made.
+SHORT = 8
 #: Lines that a task remembers having met.
 MET = 1 << 17
 
@@ -93,7 +95,7 @@ def _cores(h: Ranges, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = b - a
     own, less = _core(n), _core(n - 1)
     lines, found = [], []
-    for k, at in ((own, np.flatnonzero(n >= NEAR)), (less, np.flatnonzero((n > NEAR) & (less != own)))):
+    for k, at in ((own, np.flatnonzero(n >= SHORT)), (less, np.flatnonzero((n > SHORT) & (less != own)))):
         k, x, y = k[at], a[at], b[at]
         lines += [at, at]
         found += [h(x, x + k) ^ (2 * k).astype(np.uint64), h(y - k, y) ^ (2 * k + 1).astype(np.uint64)]
@@ -113,7 +115,7 @@ def _lists(sizes, values: pa.Array) -> pa.ListArray:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, key, line, h1, h2, cores) of each line of at least LEAST words; docs has id, key and text."""
+    """(doc, key, line, h1, h2, n, cores) of each line of at least LEAST words, n being their number; docs has id, key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,24 +133,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     pa.array(number[kept].astype(np.int32)),
                     _i64(one(x, y)),
                     _second(two(x, y)),
+                    pa.array((y - x).astype(np.int32)),
                     _lists(np.bincount(lines, minlength=len(kept)), _i64(cores[order])),
                 ],
-                names=["doc", "key", "line", "h1", "h2", "cores"],
+                names=["doc", "key", "line", "h1", "h2", "n", "cores"],
             )
 
     short_batches(docs.sparkSession)
-    return docs.select("id", "key", "text").mapInArrow(run, "doc long, key int, line int, h1 long, h2 int, cores array<long>")
+    return docs.select("id", "key", "text").mapInArrow(run, "doc long, key int, line int, h1 long, h2 int, n int, cores array<long>")
 
 
 def variants(docs: DataFrame, cores: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, key, line, h1, h2, v1, v2, words) of the lines with a core in cores: v1 and v2 hold the hashes without each word.
+    """(doc, key, line, h1, h2, v1, v2, words) of short lines and of those with a core in cores: v1 and v2 hold the hashes without each word.
 
     A line that a task has met before comes with empty arrays and without words. cores is written, found holds the ``occurrences``.
     """
     rows = docs.select("id", "key", "text")
     bits = bit_filter(cores, "core")
     if bits is None:
-        lines = found.select("doc", "key", "line", F.explode("cores").alias("core")).join(cores, "core", "left_semi").groupBy("doc", "key").agg(F.collect_set("line").alias("lines"))
+        with_core = found.where(F.col("n") > SHORT).select("doc", "key", "line", F.explode("cores").alias("core")).join(cores, "core", "left_semi").select("doc", "key", "line")
+        short = found.where(F.col("n").between(NEAR, SHORT)).select("doc", "key", "line")
+        lines = with_core.unionByName(short).groupBy("doc", "key").agg(F.collect_set("line").alias("lines"))
         rows = rows.alias("d").join(lines.alias("l"), F.expr("d.id <=> l.doc and d.key = l.key")).select("d.*", "l.lines")
     wanted = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -161,9 +166,10 @@ def variants(docs: DataFrame, cores: DataFrame, found: DataFrame) -> DataFrame:
                 own = [set(x) for x in b.column(3).to_pylist()]
                 kept = np.array([i for i, (o, k) in enumerate(zip(owner.tolist(), number.tolist())) if k in own[o]], dtype=np.int64)
             else:
-                at = np.flatnonzero(np.diff(edge) >= NEAR)
+                size = np.diff(edge)
+                at = np.flatnonzero(size > SHORT)
                 which, cores = _cores(one, edge[at], edge[at + 1])
-                kept = at[np.unique(which[may_hold(wanted.value, cores)])]
+                kept = np.union1d(at[which[may_hold(wanted.value, cores)]], np.flatnonzero((size >= NEAR) & (size <= SHORT)))
             x, y = edge[kept], edge[kept + 1]
             h1 = one(x, y)
             lists, sizes, texts = [np.zeros((2, 0), np.uint64)], [], []
