@@ -197,7 +197,7 @@ def second_order(pairs: DataFrame, idx: DataFrame, num: int, den: int) -> DataFr
     x = p.select(F.col("g").alias("a"), F.col("size").alias("nx"), F.col("p2").alias("x"))
     y = p.select(F.col("g").alias("b"), F.col("size").alias("ny"), F.col("p2").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where((shared > 0) & enough(shared, F.col("nx"), F.col("ny"), num, den)).select("a", "b").distinct()
+    return pairs.join(apart(x), "a").join(apart(y), "b").where((shared > 0) & enough(shared, F.col("nx"), F.col("ny"), num, den)).select("a", "b").distinct()
 
 
 def overlap(x: Column, y: Column, num: int, den: int) -> Column:
