@@ -7,7 +7,7 @@ back-off weights. A text gets the language of the lowest cross-entropy per symbo
 
 Rejection is calibrated on labelled rows that the models have not seen. A text's excess over its language's mean
 cross-entropy, divided by the spread that such an excess has at its length, is its strangeness; a text is rejected
-if it is stranger than all but the share ``FALSE_REJECTIONS`` of the calibration rows.
+if it is stranger than all but the share ``FALSE_REJECTIONS`` of the calibration rows, and than a normal law would let that share be.
 
 The models are fitted on about ``TRAIN_ROWS`` labelled rows of every label and calibrated on ``CALIBRATION_ROWS`` more, of
 ``TRAIN_BYTES`` of text at most, so their size grows with the number of labels but not with the rows; prediction reads every
@@ -18,6 +18,7 @@ row every text is. Ties go to the first label in sorted order. Rows are judged o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -152,11 +153,9 @@ class Model:
             strange += [self.strangeness(c, k, j) for c, k in zip(ce, size)]
         if strange:
             strange, m = np.sort(strange), len(strange)
+            usual = NormalDist().inv_cdf(1 - false_rejections) * (1 + 3 / np.sqrt(m))  # few rows say little about the spreads
             at = int(np.ceil((1 - false_rejections) * (m + 1))) - 1
-            self.limit = float(strange[min(at, m - 1)])
-            if at >= m:  # too few rows to hold that share: an exponential tail beyond them
-                top = strange[int(0.9 * m) :]
-                self.limit += float(top.mean() - top[0] + 1e-3) * np.log(1 / (false_rejections * m))
+            self.limit = max(usual, float(strange[min(at, m - 1)]))
 
     def strangeness(self, entropy: float, n: int, j: int) -> float:
         """Excess of a cross-entropy over n symbols, in its standard deviations for texts of the language."""
