@@ -173,7 +173,9 @@ def bearing(encode: Encoder, text: str, ids: np.ndarray, spans: list | None) ->
         line = text.find("\n") + 1
         if not 0 < line <= PROMPT or line == len(text):
             return np.arange(len(ids) + 1)
-        spans = [(line, len(text))]
+        x = len(text[:line].encode("utf-8", "replace"))
+        first = np.searchsorted(encode.starts(ids[: min(x + 1, len(ids) - 1)]), x)  # a token has a byte at least
+        return np.maximum(np.arange(len(ids) + 1) - first, 0)
     begins = encode.starts(ids[:-1])
     plain = text.isascii()
     inside = np.zeros(len(ids), dtype=bool)
