@@ -250,9 +250,11 @@ def near_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     several = lambda rows, key: cut(rows.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select(key))
     cores = several(found.select(F.explode("cores").alias("core"), "h1"), "core")
     kept = variants(docs, cores, found)
+    drop(cores)
     shared = several(kept.where("size(v1) > 0").select(F.explode(F.concat("v1", F.array("h1"))).alias("v"), "h1"), "v")
     firsts = kept.groupBy("h1", "h2").agg(F.min(at).alias("first"))
     each = cut(met_variants(kept, shared).distinct().join(apart(firsts), ["h1", "h2"]))
+    drop(shared)
     # the earliest line of each variant: among the lines without the word at that place, the line itself, and all
     who = F.struct("first", F.col("h1").alias("p1"), F.col("h2").alias("p2"))
     by_place = each.where("place >= 0").groupBy("v1", "v2", "place").agg(F.min(who).alias("e"))
@@ -261,10 +263,13 @@ def near_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = without.select("h1", "h2", "first", F.explode(F.array("e", "own")).alias("x"))
     pairs = pairs.unionByName(each.where("place < 0").join(apart(by_variant.select("v1", "v2", F.col("e").alias("x"))), ["v1", "v2"]).select("h1", "h2", "first", "x"))
     pairs = cut(pairs.where(F.col("x.first") < F.col("first")).select("h1", "h2", "x.p1", "x.p2").distinct())
+    drop(each)
     ends = cut(pairs.select(F.explode(F.array("h1", "p1")).alias("h1")).distinct())
     texts = _may_be(kept.where("words is not null").select("h1", "h2", "words"), bit_filter(ends, "h1"), 0).groupBy("h1", "h2").agg(F.min("words").alias("words"))
-    out = cut(verified(pairs, cut(texts)))
-    drop(cores, kept, shared, each, pairs, ends)
+    texts = cut(texts)
+    drop(kept, ends)
+    out = cut(verified(pairs, texts))
+    drop(pairs, texts)
     return out
 
 
