@@ -283,8 +283,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
         return out
 
     tokens = known.select("g", F.col("size").cast("int").alias("size"), F.posexplode("p1").alias("pos", "t"))
-    twice = tokens.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t")
-    shared = cut(tokens.join(apart(twice), "t").distinct())
+    twice = cut(tokens.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t"))  # else all tokens are on disk twice
+    shared = cut(tokens.join(twice, "t").distinct())
+    drop(twice)
 
     lead = shared.groupBy("t").agg(F.min(F.struct("g", "size")).alias("x")).select("t", F.col("x.g").alias("lead"), F.col("x.size").alias("lsize"))
     led = shared.join(apart(lead), "t").where((F.col("g") != F.col("lead")) & fits(F.col("size"), F.col("lsize")))
@@ -325,7 +326,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
     joined = components(links.unionByName(more).unionByName(same.distinct())).select(F.col("id").alias("g"), F.col("component_id").alias("c"))
     ids = known.groupBy("g").agg(F.min("id").alias("id")).join(joined, "g", "left").select("g", "id", F.coalesce("c", "g").alias("c"))
     least = ids.groupBy("c").agg(F.min("id").alias("component_id"))
-    return idx.select("id", "size", "g"), cut(ids.join(apart(least), "c").select("g", "component_id"))
+    nodes = cut(idx.select("id", "size", "g"))
+    comps = cut(ids.join(apart(least), "c").select("g", "component_id"))
+    drop(idx)
+    return nodes, comps
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -341,6 +345,7 @@ def keep(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     gone = few(cut(idx.where("id is not null and size > 0").join(apart(comps), "g").where("id <> component_id").select("id").distinct()))
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["id"], "left_anti")
     repeated = cut(idx.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    drop(idx, comps)
     if repeated.isEmpty():
         return left
     repeated = few(repeated)

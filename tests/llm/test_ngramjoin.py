@@ -1,3 +1,4 @@
+import os
 import random
 
 import edge
@@ -102,3 +103,14 @@ def test_edges(spark):
     kept = J.keep(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
     assert J.query(edge.empty(spark)).count() == 0
+
+
+def test_keep_leaves_no_index(spark):
+    """The index, with the prefixes of every document, lay in the shared folder beside all later stages."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(shared))
+    docs = [(d, f"a b c d e f g h i j k l m {'x' if d % 3 else 'n'} o p q r s t u v w {d % 2}") for d in range(8)]
+    kept = J.keep(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] and kept.count() < 8
+    left = [spark.read.parquet(f"{shared}/{x}").columns for x in set(os.listdir(shared)) - before]
+    assert not [c for c in left if {"p1", "size", "component_id"} & set(c)]
