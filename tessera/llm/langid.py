@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, unit
+from .common import release, short_batches, unit
 from .hashing import Sorted, mix
 
 ORDER = 4
@@ -237,11 +237,16 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", seed: str | N
     held: dict[str, list[str]] = {}
     part = F.least(F.lit(0.8), F.lit(float(per_lang)) / F.count("*") / most) * most
     shares = base.groupBy("l").agg(most.alias("share"), part.alias("part"))
-    for r in base.join(F.broadcast(shares), "l").where(F.col("s") < F.col("share")).select("l", "t", (F.col("s") < F.col("part")).alias("fit")).collect():
-        (fit if r.fit else held).setdefault(r.l, []).append(r.t)
+    found = base.join(F.broadcast(shares), "l").where(F.col("s") < F.col("share")).select("l", "t", (F.col("s") < F.col("part")).alias("fit")).toArrow()
+    for b in found.to_batches():
+        for label, t, first in zip(*(c.to_pylist() for c in b.columns)):
+            (fit if first else held).setdefault(label, []).append(t)
     for lang in held:  # a label whose few rows all came out for calibration
         fit.setdefault(lang, held[lang])
-    return Model({k: sorted(v) for k, v in fit.items()}, {k: sorted(v) for k, v in held.items()}, false_rejections)
+    model = Model({k: sorted(v) for k, v in fit.items()}, {k: sorted(v) for k, v in held.items()}, false_rejections)
+    del found, fit, held
+    release(rows.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, bit_filter, cut, drop, may_hold, short_batches
+from .common import apart, bit_filter, cut, drop, may_hold, release, short_batches
 from .hashing import mix, text_words
 
 LEAST = 1
@@ -284,6 +284,7 @@ def removed(docs: DataFrame) -> DataFrame:
     out = _may_be(found.select("doc", "key", "line", "h1", "h2"), bit_filter(gone, "h1"), 3).join(gone, ["h1", "h2"]).where(~F.coalesce(F.col("stays") == at, F.lit(False)))
     out = cut(out.groupBy("doc", "key").agg(F.array_sort(F.collect_set("line")).alias("lines")))
     drop(found, late, gone)
+    release(docs.sparkSession)
     return out
 
 

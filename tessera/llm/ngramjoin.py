@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, bit_filter, components, cut, drop, may_hold, short_batches
+from .common import apart, bit_filter, components, cut, drop, may_hold, release, short_batches
 from .hashing import Sorted, mix, shingle_set, text_words
 
 #: Hashed counters of the corpus; their classes are broadcast, so their number is fixed.
@@ -69,10 +69,9 @@ def corpus_counts(docs: DataFrame, n: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
 
-    found = docs.select("text").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in found:
-        out[r.b] = r.n
+    out[found["b"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -134,7 +133,7 @@ def ordered_index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     for r in sorted(often.groupBy("k").agg(F.count("*").alias("n")).collect(), reverse=True):
         held += r.n
         least = r.k if held <= HOT else least
-    found = often.where(F.col("k") >= least).toPandas().sort_values("t")
+    found = often.where(F.col("k") >= least).toArrow()
     tokens = found["t"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     hot = sc.broadcast((tokens[order], (64 + found["k"].to_numpy()[order]).astype(np.uint8)))
@@ -142,6 +141,7 @@ def ordered_index(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     drop(often)
     for b in (rank, none, hot):
         b.destroy()
+    release(docs.sparkSession)
     return out
 
 
@@ -280,6 +280,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
         sets = sets_of(docs, idx, passed.select(F.explode(F.array("a", "b")).alias("g")).distinct(), n)
         out = cut(verified(passed, sets, num, den))
         drop(passed, sets, pairs)
+        release(docs.sparkSession)
         return out
 
     tokens = known.select("g", F.col("size").cast("int").alias("size"), F.posexplode("p1").alias("pos", "t"))

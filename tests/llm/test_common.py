@@ -37,3 +37,16 @@ def test_cut_leaves_no_shuffle_files(spark):
     assert _shuffle_files(spark) <= before
     assert out.count() == 100 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
     assert rows.where("n = 100").count() == C.cut(rows).count() == 100  # the same frame can be run again
+
+
+def test_cut_has_the_driver_give_back_memory(spark):
+    """Garbage of earlier queries stayed in the driver's heap, which grew for it."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: heap.totalMemory() - heap.freeMemory()
+    C.release(spark)
+    usual, size = used(), int(0.4 * heap.maxMemory())
+    big = spark.sparkContext._gateway.new_array(spark._jvm.byte, size)
+    assert used() > usual + 0.9 * size
+    del big
+    assert C.cut(spark.range(10)).count() == 10
+    assert used() < usual + 0.5 * size
